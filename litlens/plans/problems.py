@@ -1,0 +1,44 @@
+"""Queries of the record-linkage problems 2 to 5 over the test tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from litlens.functions.identifiers import doi_key, pmid_key
+from litlens.operators.components import components
+from litlens.operators.merkle import collapse
+from litlens.session import table
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every DOI mentioned at least twice in both tables together, with its mentions."""
+    hits = table(spark, sf_dir, "embase_query3").select(F.explode("retrieved_dois").alias("raw"))
+    rows = table(spark, sf_dir, "included_studies").select(F.col("doi").alias("raw"))
+    mentions = hits.unionAll(rows).select(doi_key(F.col("raw")).alias("doi")).where("doi is not null")
+    records = collapse(mentions, ["doi"], leaves={"doi": lambda c: c}, keep={"doi": F.first("doi")})
+    return records.where("copies >= 2").select("doi", "copies")
+
+
+def hit_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doi, pmid of every hit that has both, as prefixed identifiers."""
+    hits = table(spark, sf_dir, "embase_query3").select(F.explode(F.arrays_zip("retrieved_dois", "retrieved_pmids")).alias("h"))
+    ids = hits.select(doi_key(F.col("h.retrieved_dois")).alias("d"), pmid_key(F.col("h.retrieved_pmids")).alias("p")).where("d is not null and p is not null")
+    return ids.select(F.concat(F.lit("doi:"), "d").alias("doi"), F.concat(F.lit("pmid:"), "p").alias("pmid"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every identifier linked through hits, with the smallest identifier of its group."""
+    found = components(hit_links(spark, sf_dir), "doi", "pmid")
+    return found.select(F.col("vertex").alias("ident"), F.col("component").alias("group_ident"))
+
+
+QUERIES = {"p2_found": p2_found, "p5_found": p5_found}
+
+_SQL_DOI = r"""
+WITH raw AS (SELECT unnest(retrieved_dois) AS d FROM embase_query3 UNION ALL SELECT doi FROM included_studies),
+bare AS (SELECT lower(translate(regexp_replace(d, '[\s\x{a0}\x{2007}\x{202f}\x{205f}\x{3000}\x{200b}-\x{200d}\x{2060}\x{feff}\x{ad}]+', '', 'g'), '‐‑‒–—―−', '-------')) AS s FROM raw),
+cut AS (SELECT regexp_replace(regexp_extract(s, '(10\.[0-9]{4,9})/+([^/].*)$', 1) || '/' || regexp_replace(regexp_extract(s, '(10\.[0-9]{4,9})/+([^/].*)$', 2), '\[doi\].*$', ''), '[.,;:''"\]}]+$', '') AS s FROM bare WHERE s LIKE '%10.%/%'),
+fit AS (SELECT regexp_replace(CASE WHEN s LIKE '%>' AND len(s) - len(replace(s, '>', '')) > len(s) - len(replace(s, '<', '')) THEN s[:-2] ELSE s END, '[.,;:''"\]}]+$', '') AS doi FROM cut)
+"""
+SQL = {"p2_found": _SQL_DOI + "SELECT doi, count(*) AS copies FROM fit WHERE doi <> '/' GROUP BY doi HAVING count(*) >= 2"}
