@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from litlens.llm.confusables import lookalike_pairs
+from litlens.llm.leakage import find_leaks
 from litlens.session import table
 
 
@@ -16,5 +17,11 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike_pairs(refs, "ref_id", "title", hits, "record_id", "title")
 
 
-QUERIES = {"p1_found": p1_found}
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the held-out items of which they contain at least 12 consecutive words."""
+    found = find_leaks(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "item_text", 12)
+    return found.select("doc_id", "item_id")
+
+
+QUERIES = {"p1_found": p1_found, "p7_found": p7_found}
 SQL: dict[str, str] = {}
