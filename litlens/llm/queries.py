@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from litlens.llm.confusables import lookalike_pairs
 from litlens.llm.leakage import find_leaks
+from litlens.llm.packing import pack
+from litlens.llm.spam import spam_pages
 from litlens.session import table
 
 
@@ -23,5 +25,21 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id")
 
 
-QUERIES = {"p1_found": p1_found, "p7_found": p7_found}
+def p6_packed(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    """Every document placed in windows of each capacity; ``vocabulary`` defaults to the installed public one."""
+    if vocabulary is None:
+        import public_tokenizers
+
+        vocabulary = str(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    targets = {r.target_name: r.capacity_tokens for r in table(spark, sf_dir, "pack_targets").limit(1000).collect()}
+    return pack(table(spark, sf_dir, "documents"), "doc_id", "text", targets, vocabulary)
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that are keyword-stuffed or link-list pages; the table names a page's host in ``source``."""
+    pages = spam_pages(table(spark, sf_dir, "documents"), "doc_id", "text", "source")
+    return pages.where("is_spam").select("doc_id")
+
+
+QUERIES = {"p1_found": p1_found, "p6_packed": p6_packed, "p8_found": p8_found, "p7_found": p7_found}
 SQL: dict[str, str] = {}
