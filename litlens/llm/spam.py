@@ -123,6 +123,7 @@ def weak_label(c=F.col) -> Column:
         | (c("tags") > 0.12) & (c("sentences") < 0.2) & (c("function") < 0.1)
     ) & ~scholarly
     ham = (c("sentences") > 0.6) & (c("repeated") < 0.15) | scholarly & (c("repeated") < 0.3) & (c("links") < 0.05) | (c("colons") > 0.7) & (c("repeated") < 0.15) & (c("links") == 0)
+    ham |= (c("repeated") < 0.05) & (c("keyed") < 0.05) & (c("links") < 0.02) & (c("tags") < 0.04) & (c("top_word") < 0.2)
     return F.when(spam, 1.0).when(ham & ~spam, 0.0)
 
 
@@ -150,7 +151,7 @@ def spam_pages(docs: DataFrame, doc_id: str, text: str, host: str, trees: int =
         order = F.xxhash64(*FEATURES)
         shares = F.when(F.col("label") == 1.0, min(1.0, 1.2 * n / totals[1.0])).otherwise(min(1.0, 1.2 * n / totals[0.0]))
         weight = F.when(F.col("label") == 1.0, F.lit(max(1.0, totals[0.0] / totals[1.0]))).otherwise(F.lit(max(1.0, totals[1.0] / totals[0.0])))
-        sample = labelled.withColumn("weight", F.least(weight, F.lit(20.0))).where(F.pmod(order, F.lit(1_000_003)) < shares * 1_000_003).dropDuplicates(FEATURES).limit(2 * max_train)
+        sample = labelled.withColumn("weight", F.least(weight, F.lit(3.0))).where(F.pmod(order, F.lit(1_000_003)) < shares * 1_000_003).dropDuplicates(FEATURES).limit(2 * max_train)
         vectors = VectorAssembler(inputCols=FEATURES, outputCol="features", handleInvalid="skip")
         forest = RandomForestClassifier(featuresCol="features", labelCol="label", weightCol="weight", numTrees=trees, maxDepth=max_depth, featureSubsetStrategy="all", subsamplingRate=1.0, minInstancesPerNode=5, seed=7)
         model = forest.fit(vectors.transform(scratch.cut(sample.select("label", "weight", *FEATURES))))
