@@ -1,0 +1,152 @@
+"""Variant spellings of names: MinHash banding over padded q-grams, Monge-Elkan checks, star clustering.
+
+Distinct strings are parsed once and collapsed into profiles (family part, given parts); families that may be
+typos of each other are found by banding, profiles of equal or near families are compared part by part, and the
+accepted links are clustered into stars: the fullest, most frequent spelling of a neighbourhood is its centre.
+Everything between the steps is a join or an aggregation on short keys; a name on a third of all rows is one row
+after the first aggregation.
+"""
+
+from __future__ import annotations
+
+import math
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from litlens.functions.names import given_similarity, group_similarity, parse
+from litlens.session import Scratch
+
+_PARSED = "struct<kind:string,readings:array<struct<family:string,given:string>>>"
+
+
+def bands_for(similarity: float, recall: float, rows: int) -> int:
+    """The least number of bands of ``rows`` hashes with which a pair of this Jaccard similarity meets at least
+    once with probability ``recall``: from the collision curve 1 - (1 - s^r)^b."""
+    return math.ceil(math.log(1 - recall) / math.log(1 - similarity**rows))
+
+
+def minhash_bands(text: Column, q: int, rows: int, bands: int) -> Column:
+    """Band keys of a text's padded q-grams, in the JVM."""
+    padded = F.concat(F.lit("^" * (q - 1)), text, F.lit("$" * (q - 1)))
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - (q - 1)), lambda i: F.substring(padded, i, q)))
+    hashed = F.transform(grams, lambda g: F.xxhash64(g))
+
+    def least(seed: Column) -> Column:
+        return F.array_min(F.transform(hashed, lambda h: F.xxhash64(h, seed)))
+
+    def band(b: Column) -> Column:
+        return F.xxhash64(b, *[least(b * rows + k) for k in range(rows)])
+
+    return F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), band)
+
+
+@F.pandas_udf(_PARSED)
+def _parsed(names: pd.Series) -> pd.DataFrame:
+    out = [parse(n) if n else None for n in names]
+    return pd.DataFrame({"kind": [p and p[0] for p in out], "readings": [p and [{"family": f, "given": g} for f, g in p[1]] for p in out]})
+
+
+@F.pandas_udf("double")
+def _agreement(kind: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([(group_similarity if k == "group" else given_similarity)(x, y) for k, x, y in zip(kind, a, b, strict=True)], dtype="float64")
+
+
+def _resolved(names: DataFrame) -> DataFrame:
+    """name, n, kind, family, given: open readings are settled by how often words occur as family and given names
+    in names whose order is plain."""
+    parsed = names.withColumn("p", _parsed("name")).select("name", "n", "p.kind", "p.readings").where("kind is not null and kind <> 'bare'")
+    plain = parsed.where(F.size("readings") == 1).select("name", "n", "kind", F.col("readings")[0]["family"].alias("family"), F.col("readings")[0]["given"].alias("given"))
+    people = plain.where("kind = 'person'")
+    as_family = people.groupBy(F.col("family").alias("word")).agg(F.count(F.lit(1)).alias("f"), F.lit(0).cast("long").alias("g"))
+    as_given = people.select(F.split("given", " ")[0].alias("word"), "family").where(F.length("word") > 1).distinct().groupBy("word").agg(F.lit(0).cast("long").alias("f"), F.count(F.lit(1)).alias("g"))
+    roles = as_family.unionByName(as_given).groupBy("word").agg(F.least(F.sum("f"), F.lit(3)).alias("f"), F.least(F.sum("g"), F.lit(3)).alias("g"))
+    options = parsed.where(F.size("readings") == 2).select("name", "n", "kind", F.posexplode("readings").alias("pos", "r")).select("name", "n", "kind", "pos", "r.family", "r.given", F.split("r.given", " ")[0].alias("lead"))
+    fam, lead = roles.select(F.col("word").alias("family"), F.col("f").alias("ff"), F.col("g").alias("fg")), roles.select(F.col("word").alias("lead"), F.col("f").alias("gf"), F.col("g").alias("gg"))
+    scored = options.join(fam, "family", "left").join(lead, "lead", "left")
+    score = F.coalesce("ff", F.lit(0)) + F.coalesce("gg", F.lit(0)) - F.coalesce("gf", F.lit(0)) - F.coalesce("fg", F.lit(0))
+    best = scored.groupBy("name").agg(F.max(F.struct(score.alias("s"), (-F.col("pos")).alias("p"), "n", "kind", "family", "given")).alias("b"))
+    return plain.unionByName(best.select("name", "b.n", "b.kind", "b.family", "b.given"))
+
+
+def _near_families(profiles: DataFrame, q: int, similarity: float, recall: float, rows: int) -> DataFrame:
+    """kind, fa, fb (fa < fb): family parts within one edit of each other, found through shared bands."""
+    families = profiles.select("kind", "family").distinct().where(F.length("family") >= 5)
+    keyed = families.select("kind", "family", F.explode(minhash_bands(F.col("family"), q, rows, bands_for(similarity, recall, rows))).alias("key"))
+    a = keyed.select("kind", "key", F.col("family").alias("fa"))
+    b = keyed.select("kind", "key", F.col("family").alias("fb"))
+    d = F.levenshtein("fa", "fb", 2)
+    swapped = (d == 2) & (F.length("fa") == F.length("fb")) & (F.array_sort(F.split("fa", "")) == F.array_sort(F.split("fb", "")))
+    close = a.join(b, ["kind", "key"]).where("fa < fb").where((F.abs(F.length("fa") - F.length("fb")) <= 1) & ((d == 1) | swapped))
+    return close.select("kind", "fa", "fb").distinct()
+
+
+def star_clusters(nodes: DataFrame, edges: DataFrame, scratch: Scratch, max_rounds: int = 100) -> DataFrame:
+    """``node``, ``centre`` by star clustering in rounds.
+
+    ``nodes``: node, weight (any orderable, unique with the node); ``edges``: a, b, sim. In each round every node
+    that outweighs all its unassigned neighbours becomes a centre and takes its unassigned neighbours; a node
+    between several centres goes to the most similar, then the heaviest. Nodes without neighbours are centres.
+    """
+    both = edges.select(F.explode(F.array(F.struct("a", "b", "sim"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))).alias("e")).select("e.a", "e.b", "e.sim")
+    rank = nodes.select("node", F.struct("weight", "node").alias("rank"))
+    work = scratch.cut(both.join(rank.select(F.col("node").alias("a"), F.col("rank").alias("ra")), "a").join(rank.select(F.col("node").alias("b"), F.col("rank").alias("rb")), "b"))
+    done = []
+    for _ in range(max_rounds):
+        if work.isEmpty():
+            break
+        lead = work.groupBy("a").agg(F.first("ra").alias("ra"), F.max("rb").alias("top")).where("ra > top").select(F.col("a").alias("c"))
+        taken = work.join(lead.withColumnRenamed("c", "b"), "b").groupBy("a").agg(F.max(F.struct("sim", "rb", "b")).alias("m"))
+        # a centre has no heavier neighbour, so centres are never neighbours of each other
+        assigned = scratch.cut(lead.select(F.col("c").alias("node"), F.col("c").alias("centre")).unionByName(taken.select(F.col("a").alias("node"), F.col("m.b").alias("centre"))))
+        done.append(assigned)
+        gone = assigned.select("node")
+        left = work.join(gone.withColumnRenamed("node", "a"), "a", "left_anti").join(gone.withColumnRenamed("node", "b"), "b", "left_anti")
+        following = scratch.cut(left)
+        scratch.drop(work)
+        work = following
+    else:
+        raise RuntimeError("star clustering did not end")
+    if not done:
+        return nodes.select("node", F.col("node").alias("centre"))
+    placed = done[0]
+    for more in done[1:]:
+        placed = placed.unionByName(more)
+    return nodes.select("node").join(placed, "node", "left").select("node", F.coalesce("centre", "node").alias("centre"))
+
+
+def link_names(names: DataFrame, column: str, q: int = 3, similarity: float = 0.5, recall: float = 0.98, rows: int = 3, accept: float = 0.85) -> DataFrame:
+    """``name``, ``entity``: every string that names a person or group, with the identifier of its entity.
+
+    Null, empty and placeholder strings and bare family names name nobody and are left out. Repeated strings
+    count as frequency. An empty table gives no rows; other columns are ignored. ``similarity`` is the Jaccard
+    similarity of padded q-grams that a family name keeps after one typo, ``recall`` the share of such pairs that
+    banding must find.
+    """
+    scratch = Scratch(names.sparkSession, "names")
+    counted = names.select(F.col(f"`{column}`").alias("name")).where("name is not null").groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+    known = scratch.cut(_resolved(scratch.cut(counted)).withColumn("node", F.xxhash64("kind", "family", "given")))
+    parts = F.size(F.split("given", " "))
+    full = F.size(F.filter(F.split("given", " "), lambda t: F.length(t) > 1))
+    profiles = scratch.cut(known.groupBy("node", "kind", "family", "given").agg(F.sum("n").alias("n")).withColumn("weight", F.struct(F.least(parts, F.lit(2)).alias("parts"), F.col("n"), full.alias("full"))))
+    near = _near_families(profiles, q, similarity, recall, rows)
+    spans = scratch.cut(near.unionByName(profiles.select("kind", F.col("family").alias("fa"), F.col("family").alias("fb")).distinct()))
+    left = profiles.select("kind", F.col("family").alias("fa"), F.col("given").alias("ga"), F.col("node").alias("a"))
+    right = profiles.select("kind", F.col("family").alias("fb"), F.col("given").alias("gb"), F.col("node").alias("b"))
+    pairs = spans.join(left, ["kind", "fa"]).join(right, ["kind", "fb"]).where("fa < fb or a < b")
+    # given parts that begin with different letters can only agree through a short form; those are few families
+    scored = pairs.withColumn("sim", _agreement("kind", "ga", "gb") - F.when(F.col("fa") == F.col("fb"), 0.0).otherwise(0.05)).where(F.col("sim") >= accept)
+    # "Somewhere SACN" is written for "Somewhere Sleep Apnoea Collaborative Network"
+    groups = profiles.where("kind = 'group'").select("family", F.split("given", r"\|")[1].alias("given"), F.col("node").alias("a"))
+    short = groups.join(profiles.where("kind = 'person'").select("family", "given", F.col("node").alias("b")), ["family", "given"])
+    links = scored.select("a", "b", "sim").unionByName(short.select("a", "b", F.lit(0.9).alias("sim")))
+    stars = star_clusters(profiles.select("node", "weight"), scratch.cut(links), scratch)
+    return known.select("name", "node").join(stars, "node").select("name", F.col("centre").alias("entity"))
+
+
+def name_pairs(members: DataFrame) -> DataFrame:
+    """``name_a`` < ``name_b``: all pairs of strings of one entity."""
+    a = members.select("entity", F.col("name").alias("name_a"))
+    b = members.select("entity", F.col("name").alias("name_b"))
+    return a.join(b, "entity").where("name_a < name_b").select("name_a", "name_b")

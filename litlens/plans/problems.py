@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from litlens.functions.identifiers import doi_key, pmid_key
 from litlens.operators.components import components
 from litlens.operators.merkle import collapse
+from litlens.operators.names import link_names, name_pairs
 from litlens.session import table
 
 
@@ -20,6 +21,13 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.where("copies >= 2").select("doi", "copies")
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of strings in ``authors`` and ``first_author`` that name the same person or group."""
+    rows = table(spark, sf_dir, "included_studies")
+    written = rows.select(F.explode("authors").alias("name")).unionAll(rows.select(F.col("first_author").alias("name")))
+    return name_pairs(link_names(written, "name"))
+
+
 def hit_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doi, pmid of every hit that has both, as prefixed identifiers."""
     hits = table(spark, sf_dir, "embase_query3").select(F.explode(F.arrays_zip("retrieved_dois", "retrieved_pmids")).alias("h"))
@@ -33,7 +41,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("vertex").alias("ident"), F.col("component").alias("group_ident"))
 
 
-QUERIES = {"p2_found": p2_found, "p5_found": p5_found}
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found}
 
 _SQL_DOI = r"""
 WITH raw AS (SELECT unnest(retrieved_dois) AS d FROM embase_query3 UNION ALL SELECT doi FROM included_studies),
