@@ -16,6 +16,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Letters of other scripts and the Latin letters of the same shape.
 LOOK_ALIKES = {
@@ -62,7 +63,7 @@ def skeleton_text(text: str) -> str:
     return _BLANKS.sub(" ", unicodedata.normalize("NFD", text)).strip()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _skeletons(texts: pd.Series) -> pd.Series:
     return texts.map(skeleton_text, na_action="ignore")
 
