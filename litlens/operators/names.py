@@ -14,11 +14,13 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from litlens.functions.names import given_similarity, group_similarity, parse
 from litlens.session import Scratch
 
-_PARSED = "struct<kind:string,readings:array<struct<family:string,given:string>>>"
+_READING = T.StructType([T.StructField("family", T.StringType()), T.StructField("given", T.StringType())])
+_PARSED = T.StructType([T.StructField("kind", T.StringType()), T.StructField("readings", T.ArrayType(_READING))])
 
 
 def bands_for(similarity: float, recall: float, rows: int) -> int:
@@ -48,7 +50,7 @@ def _parsed(names: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"kind": [p and p[0] for p in out], "readings": [p and [{"family": f, "given": g} for f, g in p[1]] for p in out]})
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _agreement(kind: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([(group_similarity if k == "group" else given_similarity)(x, y) for k, x, y in zip(kind, a, b, strict=True)], dtype="float64")
 
