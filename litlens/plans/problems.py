@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from litlens.functions.identifiers import doi_key, pmid_key
 from litlens.operators.components import components
+from litlens.operators.matching import match
 from litlens.operators.merkle import collapse
 from litlens.operators.names import link_names, name_pairs
 from litlens.session import table
@@ -28,6 +29,18 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return name_pairs(link_names(written, "name"))
 
 
+def p4_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Included rows and candidates with the confidence that they are the same article."""
+    left, right = table(spark, sf_dir, "included_studies"), table(spark, sf_dir, "lookup_candidates")
+    found = match(left, right, ("ref_id", "title", "first_author", "year", "journal"), ("cand_id", "title", "first_author", "year", "journal"))
+    return found.select(F.col("left_id").alias("ref_id"), F.col("right_id").alias("cand_id"), "confidence")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs that are more likely the same article than not."""
+    return p4_matches(spark, sf_dir).where("confidence >= 0.5").select("ref_id", "cand_id").distinct()
+
+
 def hit_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doi, pmid of every hit that has both, as prefixed identifiers."""
     hits = table(spark, sf_dir, "embase_query3").select(F.explode(F.arrays_zip("retrieved_dois", "retrieved_pmids")).alias("h"))
@@ -41,7 +54,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("vertex").alias("ident"), F.col("component").alias("group_ident"))
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found}
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_matches": p4_matches, "p5_found": p5_found}
 
 _SQL_DOI = r"""
 WITH raw AS (SELECT unnest(retrieved_dois) AS d FROM embase_query3 UNION ALL SELECT doi FROM included_studies),
