@@ -1,6 +1,6 @@
 """All core queries and their SQL twins, by name."""
 
-from litlens.plans import problems
+from litlens.plans import problems, reference
 
-QUERIES = {**problems.QUERIES}
-SQL: dict[str, str] = {**problems.SQL}
+QUERIES = {**reference.QUERIES, **problems.QUERIES}
+SQL: dict[str, str] = {**reference.SQL, **problems.SQL}
