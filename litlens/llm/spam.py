@@ -153,7 +153,7 @@ def spam_pages(docs: DataFrame, doc_id: str, text: str, host: str, trees: int =
         weight = F.when(F.col("label") == 1.0, F.lit(max(1.0, totals[0.0] / totals[1.0]))).otherwise(F.lit(max(1.0, totals[1.0] / totals[0.0])))
         sample = labelled.withColumn("weight", F.least(weight, F.lit(3.0))).where(F.pmod(order, F.lit(1_000_003)) < shares * 1_000_003).dropDuplicates(FEATURES).limit(2 * max_train)
         vectors = VectorAssembler(inputCols=FEATURES, outputCol="features", handleInvalid="skip")
-        forest = RandomForestClassifier(featuresCol="features", labelCol="label", weightCol="weight", numTrees=trees, maxDepth=max_depth, featureSubsetStrategy="all", subsamplingRate=1.0, minInstancesPerNode=5, seed=7)
+        forest = RandomForestClassifier(featuresCol="features", labelCol="label", weightCol="weight", numTrees=trees, maxDepth=max_depth, featureSubsetStrategy="all", subsamplingRate=1.0, minInstancesPerNode=2, seed=7)
         model = forest.fit(vectors.transform(scratch.cut(sample.select("label", "weight", *FEATURES))))
         filled = pages.withColumns({f: F.coalesce(f, F.lit(0.0)) for f in FEATURES}).withColumn("measured", F.col("length") > 0)
         scored = model.transform(vectors.transform(filled)).withColumn("page_score", F.when(F.col("measured"), vector_to_array("probability")[1]).otherwise(0.0))
