@@ -74,7 +74,9 @@ def _resolved(names: DataFrame) -> DataFrame:
 
 def _near_families(profiles: DataFrame, q: int, similarity: float, recall: float, rows: int) -> DataFrame:
     """kind, fa, fb (fa < fb): family parts within one edit of each other, found through shared bands."""
-    families = profiles.select("kind", "family").distinct().where(F.length("family") >= 5)
+    # hashing is the work here, not bytes: keep the tasks that adaptive execution would merge
+    tasks = int(profiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    families = profiles.select("kind", "family").where(F.length("family") >= 5).distinct().repartition(tasks, "family")
     keyed = families.select("kind", "family", F.explode(minhash_bands(F.col("family"), q, rows, bands_for(similarity, recall, rows))).alias("key"))
     a = keyed.select("kind", "key", F.col("family").alias("fa"))
     b = keyed.select("kind", "key", F.col("family").alias("fb"))
