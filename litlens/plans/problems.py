@@ -56,10 +56,21 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_matches": p4_matches, "p5_found": p5_found}
 
-_SQL_DOI = r"""
-WITH raw AS (SELECT unnest(retrieved_dois) AS d FROM embase_query3 UNION ALL SELECT doi FROM included_studies),
-bare AS (SELECT lower(translate(regexp_replace(d, '[\s\x{a0}\x{2007}\x{202f}\x{205f}\x{3000}\x{200b}-\x{200d}\x{2060}\x{feff}\x{ad}]+', '', 'g'), '‐‑‒–—―−', '-------')) AS s FROM raw),
-cut AS (SELECT regexp_replace(regexp_extract(s, '(10\.[0-9]{4,9})/+([^/].*)$', 1) || '/' || regexp_replace(regexp_extract(s, '(10\.[0-9]{4,9})/+([^/].*)$', 2), '\[doi\].*$', ''), '[.,;:''"\]}]+$', '') AS s FROM bare WHERE s LIKE '%10.%/%'),
-fit AS (SELECT regexp_replace(CASE WHEN s LIKE '%>' AND len(s) - len(replace(s, '>', '')) > len(s) - len(replace(s, '<', '')) THEN s[:-2] ELSE s END, '[.,;:''"\]}]+$', '') AS doi FROM cut)
-"""
-SQL = {"p2_found": _SQL_DOI + "SELECT doi, count(*) AS copies FROM fit WHERE doi <> '/' GROUP BY doi HAVING count(*) >= 2"}
+
+
+def _doi_sql(raw: str) -> str:
+    """CTEs that end in ``fit`` (doi and the other columns) from a query that gives d and other columns."""
+    return rf"""raw AS ({raw}),
+bare AS (SELECT * EXCLUDE (d), lower(translate(regexp_replace(d, '[\s\x{{a0}}\x{{2007}}\x{{202f}}\x{{205f}}\x{{3000}}\x{{200b}}-\x{{200d}}\x{{2060}}\x{{feff}}\x{{ad}}]+', '', 'g'), '‐‑‒–—―−', '-------')) AS s FROM raw),
+cut AS (SELECT * EXCLUDE (s), regexp_replace(regexp_extract(s, '(10\.[0-9]{{4,9}})/+([^/].*)$', 1) || '/' || regexp_replace(regexp_extract(s, '(10\.[0-9]{{4,9}})/+([^/].*)$', 2), '\[doi\].*$', ''), '[.,;:''"\]}}]+$', '') AS s FROM bare WHERE s LIKE '%10.%/%'),
+fit AS (SELECT * EXCLUDE (s), regexp_replace(CASE WHEN s LIKE '%>' AND len(s) - len(replace(s, '>', '')) > len(s) - len(replace(s, '<', '')) THEN s[:-2] ELSE s END, '[.,;:''"\]}}]+$', '') AS doi FROM cut)"""
+
+
+_MENTIONS = "SELECT unnest(retrieved_dois) AS d FROM embase_query3 UNION ALL SELECT doi FROM included_studies"
+_HITS = r"SELECT d, nullif(regexp_extract(lower(regexp_replace(p0, '[\s\x{a0}]+', '', 'g')), '^(?:pmid)?[:]?0*([1-9][0-9]*)(?:\.0*)?$', 1), '') AS p FROM (SELECT unnest(retrieved_dois) AS d, unnest(retrieved_pmids) AS p0 FROM embase_query3)"
+SQL = {
+    "p2_found": f"WITH {_doi_sql(_MENTIONS)} SELECT doi, count(*) AS copies FROM fit WHERE doi <> '/' GROUP BY doi HAVING count(*) >= 2",
+    # reachability over the links, then the least identifier that each reaches
+    "p5_found": f"""WITH RECURSIVE {_doi_sql(_HITS)}, e AS (SELECT DISTINCT 'doi:' || doi AS a, 'pmid:' || p AS b FROM fit WHERE doi <> '/' AND p IS NOT NULL), both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+reach AS (SELECT a, a AS b FROM both_ways UNION SELECT reach.a, x.b FROM reach JOIN both_ways x ON reach.b = x.a) SELECT a AS ident, min(b) AS group_ident FROM reach GROUP BY a""",
+}

@@ -286,7 +286,7 @@ _DEPTH = "list_max(list_prepend(0, list_transform(range(1, len(m) + 1), lambda k
 
 @query(f"""WITH q AS (SELECT *, regexp_extract_all(text, '[()]') AS m FROM query_text WHERE text IS NOT NULL),
 s AS (SELECT *, list_transform(range(1, len(m) + 1), lambda k: len(list_filter(m[1:k], lambda c: c = '(')) - len(list_filter(m[1:k], lambda c: c = ')'))) AS pre FROM q)
-SELECT {_Q}, {_LINT} AS issues, length(text) AS chars, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda t: t <> '')) AS words, CAST({_DEPTH} AS INTEGER) AS depth, CAST((length(text) - length(replace(text, ' AND ', ''))) / 5 AS INTEGER) + 1 AS blocks, sha256(text) AS query_id FROM s""")
+SELECT {_Q}, {_LINT} AS issues, CAST(length(text) AS INTEGER) AS chars, CAST(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda t: t <> '')) AS INTEGER) AS words, CAST({_DEPTH} AS INTEGER) AS depth, CAST((length(text) - length(replace(text, ' AND ', ''))) / 5 AS INTEGER) + 1 AS blocks, sha256(text) AS query_id FROM s""")
 def query_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
     q = table(spark, sf_dir, "query_text").where("text is not null")
@@ -316,21 +316,31 @@ def _concepts(spark: SparkSession, sf_dir: str) -> dict[str, list[str]]:
     return out
 
 
-_COV = "(CASE WHEN regexp_matches(text, '(?i)\\bsleep\\w*') OR regexp_matches(text, '(?i)insomni(a|ac)') THEN 1 ELSE 0 END + CASE WHEN regexp_matches(text, '(?i)apno?ea') THEN 1 ELSE 0 END + CASE WHEN regexp_matches(text, '(?i)brux(ism|er)') THEN 1 ELSE 0 END)"
+# a pattern that cannot be compiled gives null under TRY and is no pattern
+_COV = """v AS (SELECT concept, term_regex FROM concept_terms WHERE TRY(regexp_matches('', '(?i)' || term_regex)) IS NOT NULL), n AS (SELECT count(DISTINCT concept) AS n FROM v),
+q AS (SELECT row_number() OVER () AS i, * FROM query_text WHERE text IS NOT NULL), h AS (SELECT q.i, count(DISTINCT v.concept) AS hits FROM q JOIN v ON TRY(regexp_matches(q.text, '(?i)' || v.term_regex)) GROUP BY q.i),
+c AS (SELECT q.*, round(coalesce(hits, 0) / greatest((SELECT n FROM n), 1), 6) AS coverage FROM q LEFT JOIN h USING (i))"""
+_SIMPLE = "greatest(length(text) - 300, 0) / 300 + 0.5 * greatest(words - 40, 0) / 40 + 0.5 * greatest(depth - 1, 0)"
+_BURDEN = "CASE WHEN length(text) < 50 THEN -1.0 ELSE greatest(-1.0, 1 - abs(length(text) - 500) / 500) END"
 
 
-@query()
+@query(f"WITH {_COV} SELECT {_Q}, coverage FROM c")
 def concept_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = table(spark, sf_dir, "query_text").where("text is not null")
     return query_text.concept_coverage(q, ["study_name", "provider", "query_num"], "text", _concepts(spark, sf_dir)).withColumn("coverage", r6("coverage"))
 
 
-@query()
+_SELECT = f"""WITH {_COV}, d AS (SELECT *, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda t: t <> '')) AS words, list_transform(range(1, len(regexp_extract_all(text, '[()]')) + 1), lambda k: len(list_filter(regexp_extract_all(text, '[()]')[1:k], lambda c: c = '(')) - len(list_filter(regexp_extract_all(text, '[()]')[1:k], lambda c: c = ')'))) AS pre, regexp_extract_all(text, '[()]') AS m FROM c),
+e AS (SELECT *, {_DEPTH} AS depth FROM d), f AS (SELECT {_Q}, CAST(length(text) AS INTEGER) AS results, coverage, round(CAST({_BURDEN} AS DOUBLE), 6) AS burden, round(CAST({_SIMPLE} AS DOUBLE), 6) AS simplicity, {_LINT} AS issues FROM e)
+SELECT *, round(2.0 * coverage + burden - 0.5 * issues - simplicity, 6) AS score FROM f"""
+
+
+@query(_SELECT)
 def selector_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored_queries(spark, sf_dir)
 
 
-@query()
+@query(f"SELECT study_name, provider, query_num, score, coverage, results FROM (SELECT *, row_number() OVER (PARTITION BY study_name ORDER BY score DESC, coverage DESC, results, query_num, provider) AS rn FROM ({_SELECT})) WHERE rn = 1")
 def select_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     rank = [F.col("score").desc(), F.col("coverage").desc(), "results", "query_num", "provider"]
     return identity.first_by_priority(_scored_queries(spark, sf_dir), ["study_name"], rank).select("study_name", "provider", "query_num", "score", "coverage", "results")
@@ -374,13 +384,15 @@ def local_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- statistics -----------------------------------------------------------------------------------------------
 
 _S = f"s AS ({SQL['strategy_scores']})"
-_SPREAD = ", ".join(f"round(avg({m}), 6) AS {m}_mean, round(coalesce(stddev_samp({m}), 0), 6) AS {m}_std, round(CAST(min({m}) AS DOUBLE), 6) AS {m}_min, round(CAST(max({m}) AS DOUBLE), 6) AS {m}_max" for m in ("recall", "precision", "f1", "retrieved"))
+_SPREAD = ", ".join(f"round(avg({m}), 9) AS {m}_mean, round(coalesce(stddev_samp({m}), 0), 6) AS {m}_std, round(CAST(min({m}) AS DOUBLE), 6) AS {m}_min, round(CAST(max({m}) AS DOUBLE), 6) AS {m}_max" for m in ("recall", "precision", "f1", "retrieved"))
 _STAT = f"SELECT strategy, count(*) AS n_studies, count(*) FILTER (WHERE recall >= 0.999) AS n_perfect, {_SPREAD} FROM s GROUP BY strategy"
 
 
 def _statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = stats.strategy_statistics(strategy_scores(spark, sf_dir))
-    return out.select("strategy", "n_studies", "n_perfect", *[r6(F.col(c).cast("double")).alias(c) for c in out.columns[3:]])
+    # means of values with 6 digits are rounded to 9, where no tie of decimals is in the way
+    digits = lambda c: 9 if c.endswith("_mean") else 6
+    return out.select("strategy", "n_studies", "n_perfect", *[F.round(F.col(c).cast("double"), digits(c)).alias(c) for c in out.columns[3:]])
 
 
 @query(f"WITH {_S} {_STAT}")
@@ -401,10 +413,10 @@ def best_strategy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.best_strategy(_statistics(spark, sf_dir))
 
 
-@query(f"WITH {_S} SELECT strategy, " + ", ".join(f"round(100 * avg({m}), 4) AS {m}_pct, round(stddev_pop(100 * {m}), 4) AS {m}_std_pct" for m in ("recall", "precision", "f1")) + " FROM s GROUP BY strategy")
+@query(f"WITH {_S} SELECT strategy, " + ", ".join(f"round(100 * avg({m}), 7) AS {m}_pct, round(stddev_pop(100 * {m}), 6) AS {m}_std_pct" for m in ("recall", "precision", "f1")) + " FROM s GROUP BY strategy")
 def bar_stats_population(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = strategy_scores(spark, sf_dir)
-    return s.groupBy("strategy").agg(*[x for m in ("recall", "precision", "f1") for x in (F.round(100 * F.avg(m), 4).alias(f"{m}_pct"), F.round(F.stddev_pop(100 * F.col(m)), 4).alias(f"{m}_std_pct"))])
+    return s.groupBy("strategy").agg(*[x for m in ("recall", "precision", "f1") for x in (F.round(100 * F.avg(m), 7).alias(f"{m}_pct"), F.round(F.stddev_pop(100 * F.col(m)), 6).alias(f"{m}_std_pct"))])
 
 
 @query(f"WITH {_S} SELECT study, " + ", ".join(f"max(recall) FILTER (WHERE strategy = '{n}') AS {n}" for n in STRATEGIES) + " FROM s GROUP BY study")
@@ -429,11 +441,11 @@ def study_characteristics(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PDS = f"pd AS ({SQL['per_database_scores']})"
 
 
-@query(f"""WITH {_PDS} SELECT query_num, study AS query_type, CAST(sum(results_count) AS BIGINT) AS results, max(tp) AS best_tp, max(recall) AS best_recall, round(avg(recall), 6) AS mean_recall, max(gold) AS gold, array_to_string(list_sort(list_distinct(list(database))), ',') AS databases,
+@query(f"""WITH {_PDS} SELECT query_num, study AS query_type, CAST(sum(results_count) AS BIGINT) AS results, max(tp) AS best_tp, max(recall) AS best_recall, round(avg(recall), 9) AS mean_recall, max(gold) AS gold, array_to_string(list_sort(list_distinct(list(database))), ',') AS databases,
 CAST(sum(results_count) FILTER (WHERE database = 'embase') AS BIGINT) AS results_embase, CAST(sum(results_count) FILTER (WHERE database = 'COMBINED') AS BIGINT) AS "results_COMBINED" FROM pd GROUP BY query_num, study""")
 def query_type_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = per_database_scores(spark, sf_dir).withColumnRenamed("study", "query_type")
-    return stats.type_summary(s, ["embase", "COMBINED"]).withColumn("mean_recall", r6("mean_recall"))
+    return stats.type_summary(s, ["embase", "COMBINED"]).withColumn("mean_recall", F.round("mean_recall", 9))
 
 
 @query("""SELECT i.study_name, count(DISTINCT i.ref_id) AS listed, any_value(e.retrieved) AS retrieved, round(any_value(e.retrieved) / count(DISTINCT i.ref_id), 6) AS ratio FROM included_studies i

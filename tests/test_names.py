@@ -1,0 +1,42 @@
+import pytest
+from pyspark.sql import functions as F
+
+from litlens.functions.names import given_similarity, parse, within_one
+from litlens.operators.names import bands_for, link_names, minhash_bands, name_pairs
+
+
+@pytest.mark.parametrize("name,want", [
+    ("Sudiovufur KB", ("person", [("sudiovufur", "k b")])), ("K. B. Sudiovufur", ("person", [("sudiovufur", "k b")])), ("Sudiovufur, K.B.", ("person", [("sudiovufur", "k b")])), ("SUDIOVUFUR KB", ("person", [("sudiovufur", "k b")])),
+    ("de Behianikand JW", ("person", [("behianikand", "j w")])), ("Bimyvikrul KT von", ("person", [("bimyvikrul", "k t")])), ("Anna von Bystalemul", ("person", [("bystalemul", "anna")])), ("Alex H. Goselitux", ("person", [("goselitux", "alex h")])),
+    ("van Krukas", ("bare", [("krukas", "")])), ("Krukas", ("bare", [("krukas", "")])), ("nan", None), ("", None), ("  ", None), ("Zabotas WM", ("person", [("zabotas", "w m")])), ("Maso, Anne-Marie", ("person", [("maso", "anne marie")])),
+    ("The Tralyt Insomnia Study Group", ("group", [("tralyt", "group insomnia study|i s g")])), ("Study Group Insomnia, Tralyt", ("group", [("tralyt", "group insomnia study|s g i")])),
+])
+def test_parse(name, want):
+    assert parse(name) == want
+
+
+def test_open_order_has_two_readings():
+    assert parse("Vera Stesovikal") == ("person", [("stesovikal", "vera"), ("vera", "stesovikal")])
+
+
+def test_given_parts():
+    assert given_similarity("r", "bob") > 0.8 and given_similarity("robert", "bob") > 0.9 and given_similarity("k b", "y l") == 0 and given_similarity("j", "j h") > 0.9 and given_similarity("james", "joan") == 0 and given_similarity("", "j") == 0
+    assert within_one("abcd", "abdc") and within_one("abc", "abcd") and not within_one("abcd", "badc")
+
+
+def test_collision_curve(spark):
+    b = bands_for(0.5, 0.98, 3)
+    assert 1 - (1 - 0.5**3) ** b >= 0.98 > 1 - (1 - 0.5**3) ** (b - 1)
+    rows = spark.createDataFrame([("kibruziafur", "kbruziafur"), ("stesovikal", "mubukekar")], "a string, b string").select(F.arrays_overlap(minhash_bands(F.col("a"), 3, 3, b), minhash_bands(F.col("b"), 3, 3, b)).alias("met")).collect()
+    assert [r.met for r in rows] == [True, False]
+
+
+def test_link_names(spark):
+    people = [["Sudiovufur KB", "K. B. Sudiovufur", "Sudiovufur, Karl B.", "SUDIOVUFUR KB", "Suidovufur KB"], ["Sudiovufur YL", "Yusuf Sudiovufur"], ["Robert van Brask", "van Brask R", "Brask, Bob"],
+              ["The Tralyt Insomnia Study Group", "Tralyt Insomnia Study Grp", "Study Group Insomnia, Tralyt", "Tralyt ISG"], ["Ryhy Insomnia Study Group"], ["Kroba Yusuf", "Kroba, Yusuf"], ["Sote, Yusuf"]]
+    nobody = ["Sudiovufur", "van Brask", "nan", "", None, " "]
+    rows = [(n, "x") for p in people for n in p for _ in range(2)] + [(n, "x") for n in nobody]
+    got = name_pairs(link_names(spark.createDataFrame(rows, "name string, entity string"), "name"))
+    want = {(a, b) for p in people for a in p for b in p if a < b}
+    assert {(r.name_a, r.name_b) for r in got.collect()} == want
+    assert link_names(spark.createDataFrame([], "name string"), "name").count() == 0
