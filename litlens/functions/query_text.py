@@ -109,3 +109,24 @@ def concept_coverage(queries: DataFrame, keys: list[str], text: str, concepts: d
     hits = [F.when(F.greatest(*[F.col(text).rlike(f"(?i){p}") for p in ps], F.lit(False)), 1).otherwise(0) for ps in concepts.values()]
     total = sum(hits, F.lit(0))
     return queries.select(*keys, (total / max(len(concepts), 1)).cast("double").alias("coverage"))
+
+
+def date_range(text: Column) -> Column:
+    """(start, end) of a query's publication window: two dated bounds, else two entry years; null without either."""
+    bound = r'"(\d{4}/\d{2}/\d{2})"\[Date - Publication\]'
+    full = bound + r"\s*:\s*" + bound
+    years = r"\((\d{4}):(\d{4})\[edat\]\)"
+    day = lambda i: F.replace(F.regexp_extract(text, full, i), F.lit("/"), F.lit("-"))
+    year = lambda i: F.regexp_extract(text, years, i)
+    return F.when(day(1) != "", F.struct(day(1).alias("start"), day(2).alias("end"))).when(year(1) != "", F.struct(F.concat(year(1), F.lit("-01-01")).alias("start"), F.concat(year(2), F.lit("-12-31")).alias("end")))
+
+
+def domain(name: Column, text: Column, keywords: dict[str, list[str]], default: str = "general medicine") -> Column:
+    """The domain whose keyword is in the study's name, else the one with most keyword occurrences in the text (the
+    first of equals), else ``default``. ``keywords`` is configuration."""
+    low_name, low = F.lower(F.coalesce(name, F.lit(""))), F.lower(F.coalesce(text, F.lit("")))
+    by_name = [F.when(F.greatest(*[low_name.contains(k) for k in ks], F.lit(False)), F.lit(d)) for d, ks in keywords.items()]
+    counts = {d: sum((count_of(low, k) for k in ks), F.lit(0)) for d, ks in keywords.items()}
+    top = F.greatest(*counts.values(), F.lit(0))
+    by_text = [F.when((c == top) & (top > 0), F.lit(d)) for d, c in counts.items()]
+    return F.coalesce(*by_name, *by_text, F.lit(default))

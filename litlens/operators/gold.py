@@ -75,3 +75,41 @@ def source_accuracy(claims: DataFrame, truth: DataFrame, key: list[str]) -> Data
     checked = claims.join(truth.select(*key, F.col("pmid").alias("true_pmid")), key)
     ok, bad = F.count_if(F.col("pmid") == F.col("true_pmid")), F.count_if(F.col("pmid") != F.col("true_pmid"))
     return checked.groupBy("source").agg(ok.alias("correct"), bad.alias("incorrect"), F.count_if(F.col("pmid").isNull()).alias("missing"), F.round(100 * ok / F.greatest(ok + bad, F.lit(1)), 1).alias("accuracy_pct"))
+
+
+def merge_by_doi(rows: DataFrame) -> DataFrame:
+    """doi, title, pmids: one row per DOI (lower case) with the first title by source and each source's PMID.
+    ``rows``: source, doi, pmid, title. Rows without a DOI merge with nothing and are left out."""
+    keyed = rows.where("doi is not null").withColumn("doi", F.lower("doi"))
+    claims = keyed.where("pmid is not null").groupBy("doi", "source").agg(F.min("pmid").alias("pmid")).groupBy("doi").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("source", "pmid")))).alias("pmids"))
+    titles = keyed.groupBy("doi").agg(F.min(F.when(F.col("title").isNotNull(), F.struct("source", "title")))["title"].alias("title"))
+    return titles.join(claims, "doi", "left")
+
+
+def verified_claims(claims: DataFrame, known: DataFrame) -> DataFrame:
+    """Claims with ``correct``: the claimed PMID's DOI in ``known`` (pmid, doi) and the claim's own DOI are both there
+    and equal. Claims without a PMID have null."""
+    found = known.groupBy("pmid").agg(F.min(F.lower("doi")).alias("true_doi"))
+    same = F.coalesce(F.col("true_doi") == F.lower("doi"), F.lit(False))
+    return claims.join(found, "pmid", "left").withColumn("correct", F.when(F.col("pmid").isNotNull(), same)).drop("true_doi")
+
+
+def validated_pmids(claims: DataFrame, preferred: str) -> DataFrame:
+    """study, pmid: the verified PMIDs of a study, or those of the preferred source where none is verified."""
+    good = claims.where("correct").select("study", "pmid").distinct()
+    rest = claims.where((F.col("source") == preferred) & F.col("pmid").isNotNull()).select("study", "pmid").distinct()
+    return good.unionByName(rest.join(good.select("study").distinct(), "study", "left_anti"))
+
+
+def titles_across_sources(rows: DataFrame, primary: str, similar, threshold: float = 0.7) -> DataFrame:
+    """Each row of the primary source with the most similar title of every other source in its study, of at least
+    ``threshold``; ties keep the first ``ord``. ``rows``: study, source, ord, title, pmid; ``similar`` compares two
+    columns. Candidates share a word of the title, so a study's rows are never all paired."""
+    words = F.array_distinct(F.filter(F.split(F.lower("title"), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > 2))
+    each = rows.where("title is not null").withColumn("w", F.explode(words))
+    a = each.where(F.col("source") == primary).select("study", "w", F.col("ord").alias("main"), F.col("title").alias("main_title"))
+    b = each.where(F.col("source") != primary)
+    pairs = a.join(b, ["study", "w"]).drop("w").dropDuplicates(["study", "main", "source", "ord"])
+    scored = pairs.withColumn("similarity", similar(F.col("main_title"), F.col("title"))).where(F.col("similarity") >= threshold)
+    order = Window.partitionBy("study", "main", "source").orderBy(F.col("similarity").desc(), "ord")
+    return scored.withColumn("rn", F.row_number().over(order)).where("rn = 1").select("study", "main", "source", "ord", "pmid", "similarity")

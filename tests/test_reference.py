@@ -139,3 +139,22 @@ def test_partitions_do_not_matter(spark):
         out.append(sorted(map(tuple, catalog.QUERIES["weighted_vote_custom"](spark, DATA).collect()), key=str))
     spark.conf.set("spark.sql.shuffle.partitions", old)
     assert out[0] == out[1]
+
+
+def test_gold_checks(spark):
+    rows = spark.createDataFrame([("a", "10.1/X", "1", "T"), ("b", "10.1/x", "2", "U"), ("c", None, "3", "V")], "source string, doi string, pmid string, title string")
+    assert [(r.doi, r.title, dict(r.pmids)) for r in gold.merge_by_doi(rows).collect()] == [("10.1/x", "T", {"a": "1", "b": "2"})]
+    known = spark.createDataFrame([("1", "10.1/x"), ("2", "10.1/y")], "pmid string, doi string")
+    claims = gold.verified_claims(rows.withColumn("study", F.when(F.col("source") == "c", "t").otherwise("s")), known)
+    assert {r.pmid: r.correct for r in claims.collect()} == {"1": True, "2": False, "3": False}
+    assert {(r.study, r.pmid) for r in gold.validated_pmids(claims, "c").collect()} == {("s", "1"), ("t", "3")}
+    titles = spark.createDataFrame([("s", "a", 1, "deep sleep", "1"), ("s", "b", 1, "deep sleep.", "2"), ("s", "b", 2, "deep sleep", "3"), ("s", "c", 1, "other", "4")], "study string, source string, ord int, title string, pmid string")
+    assert [(r.main, r.source, r.pmid) for r in gold.titles_across_sources(titles, "a", similarity.obershelp_batch).collect()] == [(1, "b", "2")]
+
+
+def test_study_metadata(spark):
+    text = 'x AND ("2001/02/03"[Date - Publication] : "2010/12/31"[Date - Publication]) sleep sleep cancer'
+    keys = {"oncology": ["cancer", "tumour"], "sleep medicine": ["sleep"]}
+    df = spark.createDataFrame([("a", text), ("cancer_2", "sleep"), ("b", "(1999:2003[edat])"), ("c", None)], "n string, t string")
+    got = {r.n: (r.d, r.r and tuple(r.r)) for r in df.select("n", query_text.domain(F.col("n"), F.col("t"), keys).alias("d"), query_text.date_range(F.col("t")).alias("r")).collect()}
+    assert got == {"a": ("sleep medicine", ("2001-02-03", "2010-12-31")), "cancer_2": ("oncology", None), "b": ("general medicine", ("1999-01-01", "2003-12-31")), "c": ("general medicine", None)}
