@@ -11,7 +11,8 @@ STRATEGIES = ("consensus", "precision_gated_union", "weighted_vote", "concept_fa
 
 
 def aggregate(retrieval: DataFrame, texts: DataFrame | None = None, gates: Column | None = None, families: DataFrame | None = None, topk: int = 3, k: int = 2, weights: tuple[float, ...] = (1.0,), split: bool = False) -> DataFrame:
-    """strategy, study, art, pmid, doi of all strategies in one plan over a cached retrieval. With ``split`` pools are
+    """strategy, study, art, pmid, doi of all strategies in one plan. Each strategy reads ``retrieval`` again, so give a
+    narrow written table. With ``split`` pools are
     providers of one query, so all of them count (``topk`` does not hold)."""
     top = None if split else topk
     made = {

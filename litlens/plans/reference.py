@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from litlens.functions import citations, confidence, query_text, similarity
 from litlens.functions.identifiers import clean_null
 from litlens.operators import fuzzy, gold, identity, metrics, stats, strategies
-from litlens.session import table
+from litlens.plans import pipeline
+from litlens.session import Scratch, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -134,8 +135,7 @@ c AS (SELECT r.study, art, count(DISTINCT family) AS n_families FROM r JOIN f US
 m AS ({_member()}) SELECT m.*, n_families FROM m JOIN c USING (study, art)""")
 def family_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = retrieval(spark, sf_dir)
-    f = table(spark, sf_dir, "embase_query3").select(F.col("study_name").alias("study"), F.col("import_id").alias("pool"), F.year("imported_at").cast("string").alias("family"))
-    return strategies.family_consensus(r, f.join(r.select("study", "pool").distinct(), ["study", "pool"], "left_semi"), 2)
+    return strategies.family_consensus(r, _families(spark, sf_dir, r), 2)
 
 
 @query(f"WITH {_R}, {_T}, m AS ({_member('q_ord < 3')}) {_GATED}")
@@ -168,11 +168,15 @@ LEFT JOIN (SELECT study, count(DISTINCT art) AS gold FROM g GROUP BY study) n ON
 
 
 def all_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frames = [QUERIES[q](spark, sf_dir).select(F.lit(n).alias("strategy"), "study", "art") for n, q in STRATEGIES.items()]
-    out = frames[0]
-    for more in frames[1:]:
-        out = out.unionByName(more)
-    return out
+    """All strategies over one narrow table of hits, written once and read by each."""
+    scratch = Scratch(spark, "strategies")
+    r = scratch.cut(retrieval(spark, sf_dir))
+    return pipeline.aggregate(r, scratch.cut(texts(spark, sf_dir)), gates(), _families(spark, sf_dir, r))
+
+
+def _families(spark: SparkSession, sf_dir: str, r: DataFrame) -> DataFrame:
+    f = table(spark, sf_dir, "embase_query3").select(F.col("study_name").alias("study"), F.col("import_id").alias("pool"), F.year("imported_at").cast("string").alias("family"))
+    return f.join(r.select("study", "pool").distinct(), ["study", "pool"], "left_semi")
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
