@@ -72,7 +72,7 @@ def _resolved(names: DataFrame) -> DataFrame:
     return plain.unionByName(best.select("name", "b.n", "b.kind", "b.family", "b.given"))
 
 
-def _near_families(profiles: DataFrame, q: int, similarity: float, recall: float, rows: int, bucket: int = 2000) -> DataFrame:
+def _near_families(profiles: DataFrame, q: int, similarity: float, recall: float, rows: int, scratch: Scratch, bucket: int = 2000) -> DataFrame:
     """kind, fa, fb (fa < fb): family parts within one edit of each other, found through shared bands.
 
     Buckets of more than ``bucket`` families are not paired within: their families meet exactly through equal
@@ -81,7 +81,7 @@ def _near_families(profiles: DataFrame, q: int, similarity: float, recall: float
     # hashing is the work here, not bytes: keep the tasks that adaptive execution would merge
     tasks = int(profiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     families = profiles.select("kind", "family").where(F.length("family") >= 5).distinct().repartition(tasks, "family")
-    keyed = families.select("kind", "family", F.explode(minhash_bands(F.col("family"), q, rows, bands_for(similarity, recall, rows))).alias("key"))
+    keyed = scratch.cut(families.select("kind", "family", F.explode(minhash_bands(F.col("family"), q, rows, bands_for(similarity, recall, rows))).alias("key")))
     crowded = keyed.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket).select("kind", "key")
     small = keyed.join(crowded, ["kind", "key"], "left_anti")
     a = small.select("kind", "key", F.col("family").alias("fa"))
@@ -144,7 +144,7 @@ def link_names(names: DataFrame, column: str, q: int = 3, similarity: float = 0.
     parts = F.size(F.split("given", " "))
     full = F.size(F.filter(F.split("given", " "), lambda t: F.length(t) > 1))
     profiles = scratch.cut(known.groupBy("node", "kind", "family", "given").agg(F.sum("n").alias("n")).withColumn("weight", F.struct(F.least(parts, F.lit(2)).alias("parts"), F.col("n"), full.alias("full"))))
-    near = _near_families(profiles, q, similarity, recall, rows)
+    near = _near_families(profiles, q, similarity, recall, rows, scratch)
     spans = scratch.cut(near.unionByName(profiles.select("kind", F.col("family").alias("fa"), F.col("family").alias("fb")).distinct()))
     left = profiles.select("kind", F.col("family").alias("fa"), F.col("given").alias("ga"), F.col("node").alias("a"))
     right = profiles.select("kind", F.col("family").alias("fb"), F.col("given").alias("gb"), F.col("node").alias("b"))

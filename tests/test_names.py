@@ -46,10 +46,11 @@ def test_crowded_buckets_are_exact(spark):
     import random
 
     from litlens.operators.names import _near_families
+    from litlens.session import Scratch
 
     rng = random.Random(4)
     names = sorted({"".join(rng.choice("abk") for _ in range(rng.randint(5, 7))) for _ in range(400)})
     df = spark.createDataFrame([("person", n) for n in names], "kind string, family string")
-    got = {(r.fa, r.fb) for r in _near_families(df, 3, 0.5, 0.98, 3, bucket=0).collect()}
+    got = {(r.fa, r.fb) for r in _near_families(df, 3, 0.5, 0.98, 3, Scratch(spark, "t"), bucket=0).collect()}
     want = {(a, b) for a in names for b in names if a < b and within_one(a, b)}
     assert want <= got and all(sorted(a) == sorted(b) for a, b in got - want)
