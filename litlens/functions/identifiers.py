@@ -19,6 +19,8 @@ def clean_null(col: Column) -> Column:
 
 
 _MARKS = r"[.,;:'\"\]}”’]+$"
+# a DOI that stands alone: nothing before or after it, one slash after the registrant, a letter or digit at its end
+_CLEAN = r"^10\.[0-9]{4,9}(?:\.[0-9]+)*/[0-9A-Za-z](?:[0-9A-Za-z.()_/-]*[0-9A-Za-z])?\z"
 _DOI = r"^10\.[0-9]{4,9}(?:\.[0-9]+)*/[^/]"
 
 
@@ -29,7 +31,7 @@ def doi_key(col: Column) -> Column:
     ``[doi]``/``[pii]`` notes, hyphen look-alikes, doubled slashes after the registrant, percent and entity
     escapes and marks at the end are no part of a DOI; ``>`` and ``)`` at the end count as marks only where
     unbalanced. Dots and digits inside are kept as they stand. Each step uses the step before once, so the
-    expression stays linear in generated code.
+    expression stays linear in generated code; clean DOIs, by far the most, skip the steps.
     """
     s = F.lower(F.translate(F.regexp_replace(col, _BLANK, ""), HYPHENS, "-" * len(HYPHENS)))
     for escape, char in (("%2f", "/"), ("%3c", "<"), ("%3e", ">"), ("%28", "("), ("%29", ")"), ("%3a", ":"), ("%3b", ";"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
@@ -39,7 +41,7 @@ def doi_key(col: Column) -> Column:
     s = F.regexp_replace(s, r"^([^<>]*(?:<[^<>]*>[^<>]*)*)>+$", "$1")
     s = F.regexp_replace(s, r"^([^()]*(?:\([^()]*\)[^()]*)*)\)+$", "$1")
     s = F.regexp_replace(s, _MARKS, "")
-    return F.when(s.rlike(_DOI), s)
+    return F.when(col.rlike(_CLEAN), F.lower(col)).otherwise(F.when(s.rlike(_DOI), s))
 
 
 def pmid_key(col: Column) -> Column:
