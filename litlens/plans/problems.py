@@ -63,7 +63,7 @@ def _doi_sql(raw: str) -> str:
     return rf"""raw AS ({raw}),
 bare AS (SELECT * EXCLUDE (d), lower(translate(regexp_replace(d, '[\s\x{{a0}}\x{{2007}}\x{{202f}}\x{{205f}}\x{{3000}}\x{{200b}}-\x{{200d}}\x{{2060}}\x{{feff}}\x{{ad}}]+', '', 'g'), '‐‑‒–—―−', '-------')) AS s FROM raw),
 cut AS (SELECT * EXCLUDE (s), regexp_replace(regexp_extract(s, '(10\.[0-9]{{4,9}})/+([^/].*)$', 1) || '/' || regexp_replace(regexp_extract(s, '(10\.[0-9]{{4,9}})/+([^/].*)$', 2), '\[doi\].*$', ''), '[.,;:''"\]}}]+$', '') AS s FROM bare WHERE s LIKE '%10.%/%'),
-fit AS (SELECT * EXCLUDE (s), regexp_replace(CASE WHEN s LIKE '%>' AND len(s) - len(replace(s, '>', '')) > len(s) - len(replace(s, '<', '')) THEN s[:-2] ELSE s END, '[.,;:''"\]}}]+$', '') AS doi FROM cut)"""
+fit AS (SELECT * EXCLUDE (s), regexp_replace(CASE WHEN s LIKE '%>' AND len(s) - len(replace(s, '>', '')) > len(s) - len(replace(s, '<', '')) THEN rtrim(s, '>') ELSE s END, '[.,;:''"\]}}]+$', '') AS doi FROM cut)"""
 
 
 _MENTIONS = "SELECT unnest(retrieved_dois) AS d FROM embase_query3 UNION ALL SELECT doi FROM included_studies"
