@@ -57,9 +57,13 @@ def _best(pairs: DataFrame, title: float, author: float, years: int) -> DataFram
     shorter, total = F.least(F.length("g.t"), F.length("m.t")), F.length("g.t") + F.length("m.t")
     possible = both_t & (200.0 * shorter / total >= title)  # the ratio cannot exceed this
     year_ok = both_y & (F.abs(F.col("g.y") - F.col("m.y")) <= years)
-    author_ok = both_a & (ratio_batch(F.when(both_a, F.col("g.a")), F.when(both_a, F.col("m.a"))) >= author)
+    # an indel ratio of r needs an edit distance of at most (1 - r) of both lengths: checked in the JVM first
+    room = (1 - author / 100) * (F.length("g.a") + F.length("m.a"))
+    near = both_a & (F.levenshtein("g.a", "m.a") <= room)
     one = lambda c: F.when(c, 1).otherwise(0)
-    rough = pairs.withColumns({"year_ok": year_ok, "author_ok": author_ok, "possible": possible}).where(one(F.col("year_ok")) + one(F.col("author_ok")) + one(F.col("possible")) >= 2)
+    rough = pairs.withColumns({"year_ok": year_ok, "near": near, "possible": possible}).where(one(F.col("year_ok")) + one(F.col("near")) + one(F.col("possible")) >= 2)
+    author_ok = F.col("near") & (ratio_batch(F.when(F.col("near"), F.col("g.a")), F.when(F.col("near"), F.col("m.a"))) >= author)
+    rough = rough.withColumn("author_ok", F.coalesce(author_ok, F.lit(False)))
     title_ok = F.col("possible") & (ratio_batch(F.when(F.col("possible"), F.col("g.t")), F.when(F.col("possible"), F.col("m.t"))) >= title)
     scored = rough.withColumn("matched", one(F.col("year_ok")) + one(F.col("author_ok")) + one(title_ok)).withColumn("testable", one(both_t) + one(both_a) + one(both_y)).where("matched >= 2 and testable >= 2")
     best = Window.partitionBy("study", "gold_id").orderBy((F.col("matched") / F.col("testable")).desc(), "ord")
