@@ -86,12 +86,14 @@ def _words_agree(a: str, b: str) -> float:
 
 
 def title_score(a: str, b: str, cut_a: bool = False, cut_b: bool = False) -> float:
-    """Log-odds from two titles' words: one must be the other or a beginning of it, typos aside."""
+    """Log-odds from two titles' words: one must be the other or a beginning of it, typos aside. Titles of under
+    four words ("Editorial") are shared by many works, so author, year and journal decide; under three words, a
+    beginning of another title says nothing."""
     x, y = a.split(), b.split()
     if len(x) > len(y):
         x, y, cut_a, cut_b = y, x, cut_b, cut_a
     n = len(x)
-    if n < 3:
+    if not n or n < 3 and n < len(y):
         return -9.0
     typos = 0.0
     for i, (p, q) in enumerate(zip(x, y, strict=False)):
@@ -103,13 +105,36 @@ def title_score(a: str, b: str, cut_a: bool = False, cut_b: bool = False) -> flo
         typos += d
     if typos > max(2.0, 0.25 * n):
         return -9.0
-    known = min(4.0, 0.35 * n) if n < len(y) else 4.5
+    known = min(4.0, 0.35 * n) if n < len(y) else 4.5 if n >= 4 else -1.0
     return known - 0.4 * typos
 
 
+def _one_less(text: str) -> set[str]:
+    """The text and its remainders without one letter, of which two texts within one typo share one; the ends of
+    long texts."""
+    rests = {text[:i] + text[i + 1 :] for i in range(len(text) + 1)} if len(text) <= 41 else set()
+    return rests | ({"^" + text[:20], "$" + text[-20:]} if len(text) >= 40 else set())
+
+
+def short_keys(words: str, author: str, year: int | None, journal: str | None) -> list[str]:
+    """Blocking keys of a title of under four words: the title with a family name, either of them with a typo, or
+    with year and journal, the least besides an equal title that reaches even odds without author."""
+    keys = set()
+    for s in filter(None, author.split("/")):
+        keys |= {f"sn|{words}|{rest}" for rest in _one_less(s)} | {f"sa|{words}|{s[:4]}", f"sz|{words}|{s[-4:]}"}
+        keys |= {f"sr|{rest}|{s[:4]}" for rest in _one_less(words)}
+    if year and journal and (w := _journal_words(journal)):
+        keys |= {f"sd|{words}|{year}|{j}" for j in {"".join(t[0] for t in w), *w[: len(w) == 1]}}
+    return sorted(keys)
+
+
+def _journal_words(journal: str) -> list[str]:
+    return [w for w in _WORD.findall(fold(journal)) if w not in ("of", "the", "and", "for", "in")]
+
+
 def journals_agree(a: str, b: str) -> bool:
     """Whether two journal names can be the same, one or both abbreviated word by word."""
-    x, y = ([w for w in _WORD.findall(fold(s)) if w not in ("of", "the", "and", "for", "in")] for s in (a, b))
+    x, y = _journal_words(a), _journal_words(b)
     if len(x) == len(y):
         return all(p.startswith(q) or q.startswith(p) or within_one(p, q) for p, q in zip(x, y, strict=True))
     if len(x) == 1 or len(y) == 1:  # initials

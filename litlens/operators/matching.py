@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from litlens.functions.titles import description_score, surname, title_form, title_score
+from litlens.functions.titles import description_score, short_keys, surname, title_form, title_score
 from litlens.operators.components import components
 from litlens.session import Scratch
 
@@ -37,6 +37,11 @@ def _score(wa: pd.Series, wb: pd.Series, ca: pd.Series, cb: pd.Series, sa: pd.Se
     return pd.Series(out, dtype="float64")
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _short(words: pd.Series, authors: pd.Series, years: pd.Series, journals: pd.Series) -> pd.Series:
+    return pd.Series([short_keys(w, a or "", None if pd.isna(y) else int(y), j) for w, a, y, j in zip(words, authors, years, journals, strict=True)], dtype=object)
+
+
 def _records(df: DataFrame, key: str, title: str, author: str, year: str, journal: str) -> DataFrame:
     def col(name: str) -> Column:
         return F.col(f"`{name}`")
@@ -49,7 +54,8 @@ def _records(df: DataFrame, key: str, title: str, author: str, year: str, journa
 
 def _keyed(records: DataFrame) -> DataFrame:
     """rec, sig, key: blocking keys of two of the title's first three groups of four words, of one group with the
-    beginning of a family name, or of one of the latter two (the first is mostly common words) with the year."""
+    beginning of a family name, or of one of the latter two (the first is mostly common words) with the year; titles
+    of under four words have keys of their own."""
     w = records.select("rec", "kind", "year", _signature().alias("sig"), F.split("words", " ").alias("w"), F.split("surname", "/").alias("s"))
     group = lambda i: F.when(F.size("w") >= 4 * i + 4, F.concat_ws(" ", *[F.get("w", F.lit(4 * i + k)) for k in range(4)]))
     name = lambda i: F.substring(F.nullif(F.get("s", F.lit(i)), F.lit("")), 1, 4)
@@ -57,7 +63,8 @@ def _keyed(records: DataFrame) -> DataFrame:
     join = lambda tag, a, b: F.concat(F.lit(f"{tag}|"), F.col(a), F.lit("|"), F.col(b))
     keys = [join("t", "g0", "g1"), join("u", "g0", "g2"), join("v", "g1", "g2"), *[join(i, f"g{i}", n) for i in range(3) for n in ("n0", "n1")], *[join(f"y{i}", f"g{i}", "y") for i in (1, 2)]]
     exploded = parts.select("rec", "sig", "kind", F.explode(F.array(*keys)).alias("k")).where("k is not null")
-    return exploded.select("rec", "sig", F.xxhash64("k", "kind").alias("key"))
+    short = records.where(F.size(F.split("words", " ")) < 4).select("rec", _signature().alias("sig"), "kind", F.explode(_short("words", "surname", "year", "journal")).alias("k"))
+    return exploded.unionByName(short).select("rec", "sig", F.xxhash64("k", "kind").alias("key"))
 
 
 _FIRST = 12
@@ -73,7 +80,7 @@ def _plausible(a: str, b: str, typos: int = 4) -> Column:
     """Whether two signatures differ in at most ``typos`` of the words both have."""
     shared = F.least(F.length(a), F.length(b)) / 2
     same = sum(F.when((F.substring(a, 2 * i + 1, 2) == F.substring(b, 2 * i + 1, 2)) & (F.length(F.substring(a, 2 * i + 1, 2)) == 2), 1).otherwise(0) for i in range(_FIRST))
-    return same >= F.greatest(shared - typos, F.lit(3))
+    return (shared < 4) | (same >= F.greatest(shared - typos, F.lit(3)))
 
 
 _SIDE = ("words", "cut", "surname", "year", "journal")

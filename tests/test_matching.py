@@ -36,6 +36,16 @@ def test_match(spark):
     assert match(a.limit(0), b, cols, cols).count() == 0 and match(a, b.limit(0), cols, cols).count() == 0
 
 
+def test_short_titles_match_by_author_year_and_journal(spark):
+    kind = "id long, title string, first_author string, year int, journal string"
+    left = [(1, "Book review", "Trireibriakrus AB", 1998, "Archives of Rehabilitation Medicine"), (2, "Letter to the editor", "Brask R", 2001, None), (3, "Editorial", None, 2003, "J Sleep Res"), (4, "Editorial", "Stesovikal K", 2010, None), (5, "In this issue", "Kroba Y", 2011, "Radiology"), (6, "Editorial", "Sudiovufur K", 1999, None)]
+    right = [(10, "Book Review", "Trireibriakrus A", 1998, "Arch Rehabil Med"), (11, "Book review", "Other A", 1998, "Arch Rehabil Med"), (12, "Letter to the Editor", "Brsak R", 2001, None), (13, "Editorial", None, 2003, "Journal of Sleep Research"), (14, "Editorail", "Stesovikal K", 2010, None), (15, "In this issue", "Kroba Y", 2011, "Radiol"), (16, "Editorial", "Sudiovufur K", 1990, None)]
+    cols = ("id", "title", "first_author", "year", "journal")
+    got = match(spark.createDataFrame(left, kind), spark.createDataFrame(right, kind), cols, cols)
+    assert {(r.left_id, r.right_id) for r in got.collect() if r.confidence >= 0.5} == {(1, 10), (2, 12), (3, 13), (4, 14), (5, 15)}
+    assert title_score("book review", "book review") > -9.0 == title_score("book review", "book review of sleep medicine")
+
+
 def exact(units):
     """Marginals by enumeration of all assignments with at most one pair per x and per y."""
     total, on = 0.0, [0.0] * len(units)
