@@ -54,14 +54,13 @@ def _records(df: DataFrame, key: str, title: str, author: str, year: str, journa
 
 def _keyed(records: DataFrame) -> DataFrame:
     """rec, sig, key: blocking keys of two of the title's first three groups of four words, of one group with the
-    beginning of a family name, or of one of the latter two (the first is mostly common words) with the year; titles
-    of under four words have keys of their own."""
+    beginning of a family name or with the year; titles of under four words have keys of their own."""
     w = records.select("rec", "kind", "year", _signature().alias("sig"), F.split("words", " ").alias("w"), F.split("surname", "/").alias("s"))
     group = lambda i: F.when(F.size("w") >= 4 * i + 4, F.concat_ws(" ", *[F.get("w", F.lit(4 * i + k)) for k in range(4)]))
     name = lambda i: F.substring(F.nullif(F.get("s", F.lit(i)), F.lit("")), 1, 4)
     parts = w.select("rec", "kind", "sig", *[group(i).alias(f"g{i}") for i in range(3)], name(0).alias("n0"), name(1).alias("n1"), F.col("year").cast("string").alias("y"))
     join = lambda tag, a, b: F.concat(F.lit(f"{tag}|"), F.col(a), F.lit("|"), F.col(b))
-    keys = [join("t", "g0", "g1"), join("u", "g0", "g2"), join("v", "g1", "g2"), *[join(i, f"g{i}", n) for i in range(3) for n in ("n0", "n1")], *[join(f"y{i}", f"g{i}", "y") for i in (1, 2)]]
+    keys = [join("t", "g0", "g1"), join("u", "g0", "g2"), join("v", "g1", "g2"), *[join(i, f"g{i}", n) for i in range(3) for n in ("n0", "n1")], *[join(f"y{i}", f"g{i}", "y") for i in range(3)]]
     exploded = parts.select("rec", "sig", "kind", F.explode(F.array(*keys)).alias("k")).where("k is not null")
     short = records.where(F.size(F.split("words", " ")) < 4).select("rec", _signature().alias("sig"), "kind", F.explode(_short("words", "surname", "year", "journal")).alias("k"))
     return exploded.unionByName(short).select("rec", "sig", F.xxhash64("k", "kind").alias("key"))
@@ -71,16 +70,21 @@ _FIRST = 12
 
 
 def _signature() -> Column:
-    """Two hex digits of a hash for each of the title's first words, so keys can be checked without the titles."""
-    w = F.slice(F.split("words", " "), 1, _FIRST)
-    return F.array_join(F.transform(w, lambda t: F.lpad(F.lower(F.hex(F.pmod(F.xxhash64(t), F.lit(256)))), 2, "0")), "")
-
-
-def _plausible(a: str, b: str, typos: int = 4) -> Column:
-    """Whether two signatures differ in at most ``typos`` of the words both have."""
-    shared = F.least(F.length(a), F.length(b)) / 2
-    same = sum(F.when((F.substring(a, 2 * i + 1, 2) == F.substring(b, 2 * i + 1, 2)) & (F.length(F.substring(a, 2 * i + 1, 2)) == 2), 1).otherwise(0) for i in range(_FIRST))
-    return (shared < 4) | (same >= F.greatest(shared - typos, F.lit(3)))
+    """The number of a title's words in two hex digits, and two of a hash for each of the first words, so keys can be
+    checked without the titles. The last word of a cut title says nothing and is left out."""
+    w = F.split("words", " ")
+    n = F.lpad(F.hex(F.least(F.size(w), F.lit(255))), 2, "0")
+    known = F.slice(w, 1, F.least(F.lit(_FIRST), F.size(w) - F.col("cut").cast("int")))
+    return F.concat(n, F.array_join(F.transform(known, lambda t: F.lpad(F.lower(F.hex(F.pmod(F.xxhash64(t), F.lit(256)))), 2, "0")), ""))
+
+
+def _plausible(a: str, b: str) -> Column:
+    """Whether two signatures differ in no more of the words both have than ``title_score`` takes for typos."""
+    words = F.least(F.substring(a, 1, 2), F.substring(b, 1, 2))
+    typos = F.when(words == "FF", F.lit(_FIRST)).otherwise(F.greatest(F.lit(2), F.floor(F.conv(words, 16, 10).cast("int") / 4)))
+    shared = F.least(F.length(a), F.length(b)) / 2 - 1
+    same = sum(F.when((F.substring(a, 2 * i + 3, 2) == F.substring(b, 2 * i + 3, 2)) & (F.length(F.substring(a, 2 * i + 3, 2)) == 2), 1).otherwise(0) for i in range(_FIRST))
+    return same >= shared - typos
 
 
 _SIDE = ("words", "cut", "surname", "year", "journal")

@@ -46,6 +46,17 @@ def test_short_titles_match_by_author_year_and_journal(spark):
     assert title_score("book review", "book review") > -9.0 == title_score("book review", "book review of sleep medicine")
 
 
+def test_damaged_titles_meet_by_first_words_and_year(spark):
+    kind = "id long, title string, first_author string, year int, journal string"
+    long = "Randomised controlled trial comparing nocturnal melatonin supplementation against placebo tablets among hospitalised elderly patients recovering after cardiac valve replacement surgery within northern community centres"
+    typos = long.replace("nocturnal", "nocturnel").replace("melatonin", "melatonim").replace("supplementation", "supplementatian").replace("against", "againts").replace("tablets", "tablest")  # 5 of the first 12 words
+    left = [(1, "Sleep quality among nurses", None, 2001, "J Sleep Res"), (2, "Chronic pain after spinal surgery", "Stesovikal K", 2002, None), (3, "Muscle strength after stroke rehabilitation in older rural adults", None, 2003, None), (4, long, "Kroba Y", 2004, None)]
+    right = [(10, "Sleep quality among nurses", "Brask R", 2001, "J Sleep Res"), (11, "Chronic pain after spinal surgery", "Setsovikal K", 2002, None), (12, "Muscle strength after stroke rehabilitatoin in older rural aduls", None, 2003, None), (13, typos, "Kroba Y", 2004, None)]
+    cols = ("id", "title", "first_author", "year", "journal")
+    got = match(spark.createDataFrame(left, kind), spark.createDataFrame(right, kind), cols, cols)
+    assert {(r.left_id, r.right_id) for r in got.collect() if r.confidence >= 0.5} == {(1, 10), (2, 11), (3, 12), (4, 13)}
+
+
 def exact(units):
     """Marginals by enumeration of all assignments with at most one pair per x and per y."""
     total, on = 0.0, [0.0] * len(units)
