@@ -76,24 +76,28 @@ def _near_families(profiles: DataFrame, q: int, similarity: float, recall: float
     """kind, fa, fb (fa < fb): family parts within one edit of each other, found through shared bands.
 
     Buckets of more than ``bucket`` families are not paired within: their families meet exactly through equal
-    remainders after leaving out one letter, which any two strings within one edit have in common.
+    remainders after leaving out one letter, which any two strings within one edit have in common. So do families
+    of up to five letters, which share too few q-grams. One edit leaves nothing in common between two families of
+    one or two letters (Li and Lu); they stay apart.
     """
+    short = 5
     # hashing is the work here, not bytes: keep the tasks that adaptive execution would merge
     tasks = int(profiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    families = profiles.select("kind", "family").where(F.length("family") >= 5).distinct().repartition(tasks, "family")
-    keyed = scratch.cut(families.select("kind", "family", F.explode(minhash_bands(F.col("family"), q, rows, bands_for(similarity, recall, rows))).alias("key")))
+    families = profiles.select("kind", "family").where("family <> ''").distinct().repartition(tasks, "family")
+    keyed = scratch.cut(families.where(F.length("family") >= short).select("kind", "family", F.explode(minhash_bands(F.col("family"), q, rows, bands_for(similarity, recall, rows))).alias("key")))
     crowded = keyed.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket).select("kind", "key")
     small = keyed.join(crowded, ["kind", "key"], "left_anti")
     a = small.select("kind", "key", F.col("family").alias("fa"))
     b = small.select("kind", "key", F.col("family").alias("fb"))
     left_out = F.transform(F.sequence(F.lit(0), F.length("family")), lambda i: F.concat(F.substring("family", F.lit(1), i - 1), F.substring("family", i + 1, F.length("family"))))
-    many = keyed.join(crowded, ["kind", "key"], "left_semi").select("kind", "family").distinct().select("kind", "family", F.explode(F.array_distinct(left_out)).alias("rest"))
+    exact = keyed.join(crowded, ["kind", "key"], "left_semi").select("kind", "family").unionByName(families.where(F.length("family") <= short))
+    many = exact.distinct().select("kind", "family", F.explode(F.array_distinct(left_out)).alias("rest"))
     c = many.select("kind", "rest", F.col("family").alias("fa"))
     e = many.select("kind", "rest", F.col("family").alias("fb"))
     met = a.join(b, ["kind", "key"]).select("kind", "fa", "fb").unionByName(c.join(e, ["kind", "rest"]).select("kind", "fa", "fb"))
     d = F.levenshtein("fa", "fb", 2)
     swapped = (d == 2) & (F.length("fa") == F.length("fb")) & (F.array_sort(F.split("fa", "")) == F.array_sort(F.split("fb", "")))
-    return met.where("fa < fb").where((F.abs(F.length("fa") - F.length("fb")) <= 1) & ((d == 1) | swapped)).distinct()
+    return met.where("fa < fb and greatest(length(fa), length(fb)) > 2").where((F.abs(F.length("fa") - F.length("fb")) <= 1) & ((d == 1) | swapped)).distinct()
 
 
 def star_clusters(nodes: DataFrame, edges: DataFrame, scratch: Scratch, max_rounds: int = 100) -> DataFrame:

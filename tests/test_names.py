@@ -54,3 +54,19 @@ def test_crowded_buckets_are_exact(spark):
     got = {(r.fa, r.fb) for r in _near_families(df, 3, 0.5, 0.98, 3, Scratch(spark, "t"), bucket=0).collect()}
     want = {(a, b) for a in names for b in names if a < b and within_one(a, b)}
     assert want <= got and all(sorted(a) == sorted(b) for a, b in got - want)
+
+
+def near_by_brute_force(names):
+    return {(a, b) for a in names for b in names if a < b and within_one(a, b)}
+
+
+def test_short_families_meet(spark):
+    from litlens.operators.names import _near_families
+    from litlens.session import Scratch
+
+    names = ["wang", "wnag", "chen", "chne", "khan", "kahn", "kim", "km", "diaz", "diza", "brown", "bown", "li", "lu"]
+    df = spark.createDataFrame([("person", n) for n in names], "kind string, family string")
+    got = {(r.fa, r.fb) for r in _near_families(df, 3, 0.5, 0.98, 3, Scratch(spark, "t")).collect()}
+    assert got == near_by_brute_force(names) - {("li", "lu")}
+    linked = name_pairs(link_names(spark.createDataFrame([("Wang JB",), ("Wnag JB",), ("Bown, Karl",), ("Brown, Karl",)], "name string"), "name"))
+    assert {(r.name_a, r.name_b) for r in linked.collect()} == {("Wang JB", "Wnag JB"), ("Bown, Karl", "Brown, Karl")}
