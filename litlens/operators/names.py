@@ -29,6 +29,12 @@ def bands_for(similarity: float, recall: float, rows: int) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - similarity**rows))
 
 
+def exact_length(similarity: float, q: int) -> int:
+    """The length up to which one typo may leave a family name less than this Jaccard similarity of padded q-grams:
+    a swap of neighbours, the worst, keeps n - 2 of n + 2q."""
+    return math.ceil((2 + 2 * q * similarity) / (1 - similarity))
+
+
 def minhash_bands(text: Column, q: int, rows: int, bands: int) -> Column:
     """Band keys of a text's padded q-grams, in the JVM."""
     padded = F.concat(F.lit("^" * (q - 1)), text, F.lit("$" * (q - 1)))
@@ -77,10 +83,10 @@ def _near_families(profiles: DataFrame, q: int, similarity: float, recall: float
 
     Buckets of more than ``bucket`` families are not paired within: their families meet exactly through equal
     remainders after leaving out one letter, which any two strings within one edit have in common. So do families
-    of up to five letters, which share too few q-grams. One edit leaves nothing in common between two families of
-    one or two letters (Li and Lu); they stay apart.
+    so short that a typo can leave them less than ``similarity``, whatever the size of their buckets. One edit leaves
+    nothing in common between two families of one or two letters (Li and Lu); they stay apart.
     """
-    short = 5
+    short = exact_length(similarity, q)
     # hashing is the work here, not bytes: keep the tasks that adaptive execution would merge
     tasks = int(profiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     families = profiles.select("kind", "family").where("family <> ''").distinct().repartition(tasks, "family")
@@ -139,8 +145,8 @@ def link_names(names: DataFrame, column: str, q: int = 3, similarity: float = 0.
 
     Null, empty and placeholder strings and bare family names name nobody and are left out. Repeated strings
     count as frequency. An empty table gives no rows; other columns are ignored. ``similarity`` is the Jaccard
-    similarity of padded q-grams that a family name keeps after one typo, ``recall`` the share of such pairs that
-    banding must find.
+    similarity of padded q-grams that a long family name keeps after one typo, ``recall`` the share of such pairs
+    that banding must find; shorter names are found without banding (see ``exact_length``).
     """
     scratch = Scratch(names.sparkSession, "names")
     counted = names.select(F.col(f"`{column}`").alias("name")).where("name is not null").groupBy("name").agg(F.count(F.lit(1)).alias("n"))

@@ -70,3 +70,21 @@ def test_short_families_meet(spark):
     assert got == near_by_brute_force(names) - {("li", "lu")}
     linked = name_pairs(link_names(spark.createDataFrame([("Wang JB",), ("Wnag JB",), ("Bown, Karl",), ("Brown, Karl",)], "name string"), "name"))
     assert {(r.name_a, r.name_b) for r in linked.collect()} == {("Wang JB", "Wnag JB"), ("Bown, Karl", "Brown, Karl")}
+
+
+def test_ordinary_buckets_are_exact_for_shorter_families(spark):
+    import random
+
+    from litlens.operators.names import _near_families, exact_length
+    from litlens.session import Scratch
+
+    rng = random.Random(5)
+    names = set()
+    for n in range(5, 11):
+        for _ in range(20):
+            name = "".join(rng.sample("abcdefghijklmnopqrstuvwxyz", n))
+            i = rng.randrange(n - 1)
+            names |= {name, name[:i] + name[i + 1] + name[i] + name[i + 2 :], name[:i] + "é" + name[i + 1 :]}
+    df = spark.createDataFrame([("person", n) for n in sorted(names)], "kind string, family string")
+    got = {(r.fa, r.fb) for r in _near_families(df, 3, 0.5, 0.98, 3, Scratch(spark, "t")).collect()}
+    assert exact_length(0.5, 3) == 10 and near_by_brute_force(names) <= got
