@@ -56,6 +56,14 @@ def indel_ratio(a: str, b: str) -> float:
     return 200.0 * (len(a) - v.bit_count()) / (len(a) + len(b))
 
 
+def extraction_similarity(a: tuple, b: tuple) -> float:
+    """0.7 title + 0.2 author + 0.1 for the year (half for one off) of two extracted (title, first author, year);
+    a year that only one has counts as different."""
+    title, author = (indel_ratio(x.lower(), y.lower()) / 100 if x and y else 0.0 for x, y in zip(a[:2], b[:2], strict=True))
+    year = 1.0 if a[2] == b[2] else 0.5 if a[2] is not None and b[2] is not None and abs(a[2] - b[2]) <= 1 else 0.0
+    return 0.7 * title + 0.2 * author + 0.1 * year
+
+
 @F.pandas_udf(T.DoubleType())
 def ratio_batch(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else indel_ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")

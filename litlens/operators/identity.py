@@ -82,22 +82,30 @@ def deduplicate(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
     return first_by_priority(tagged.where("__key is not null"), ["__key"], order).unionByName(tagged.where("__key is null")).drop("__key")
 
 
-def greedy_clusters(rows: DataFrame, by: str, order: str, text: str, similar, threshold: float = 0.85) -> DataFrame:
+def greedy_clusters(rows: DataFrame, by: str, order: str, text: str | list[str], similar, threshold: float = 0.85, identifiers: tuple[str, ...] = ()) -> DataFrame:
     """``by``, ``order``, cluster: each row in order joins the best cluster of at least ``threshold``, else founds
-    one. Order-dependent, so one group of ``by`` (the repeated extractions of one study) is folded per task."""
+    one. A cluster is compared through its first row, replaced by each later member that has one of ``identifiers``.
+    ``similar`` gets two values of ``text``, or two tuples of its columns. Order-dependent, so one group of ``by`` (the
+    repeated extractions of one study) is folded per task."""
+    columns = [text] if isinstance(text, str) else list(text)
 
     def fold(groups: Iterator[pd.DataFrame] | pd.DataFrame) -> pd.DataFrame:
         group = groups.sort_values(order)
-        heads: list[str] = []
+        plain = group.astype(object).where(group.notna(), None)
+        seen = [v[0] or "" for v in plain[columns].to_numpy()] if isinstance(text, str) else [tuple(v) for v in plain[columns].to_numpy()]
+        known = [any(x not in (None, "") for x in v) for v in plain[list(identifiers)].to_numpy()] if identifiers else [False] * len(seen)
+        heads: list = []
         label = []
-        for t in group[text]:
-            scores = [similar(t or "", h) for h in heads]
+        for t, named in zip(seen, known, strict=True):
+            scores = [similar(t, h) for h in heads]
             best = max(range(len(scores)), key=scores.__getitem__) if scores else -1
             if best < 0 or scores[best] < threshold:
-                heads.append(t or "")
+                heads.append(t)
                 best = len(heads) - 1
+            elif named:
+                heads[best] = t
             label.append(best)
         return pd.DataFrame({by: group[by], order: group[order], "cluster": label})
 
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in (by, order))
-    return rows.select(by, order, text).groupBy(by).applyInPandas(fold, f"{kinds}, cluster int")
+    return rows.select(*dict.fromkeys([by, order, *columns, *identifiers])).groupBy(by).applyInPandas(fold, f"{kinds}, cluster int")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from litlens.operators import fuzzy, metrics, stats, strategies
+from litlens.functions.similarity import extraction_similarity
+from litlens.operators import fuzzy, gold, identity, metrics, stats, strategies
 
 STRATEGIES = ("consensus", "precision_gated_union", "weighted_vote", "concept_family_consensus", "two_stage_screen", "time_stratified_hybrid")
 
@@ -48,3 +49,10 @@ def cross_study(scores: DataFrame) -> dict[str, DataFrame]:
     """Statistics, ranks and the best strategy over studies. ``scores``: strategy, study and the rates."""
     statistics = stats.strategy_statistics(scores)
     return {"statistics": statistics, "population": stats.population_statistics(scores), "ranks": stats.rank_strategies(statistics), "best": stats.best_strategy(statistics)}
+
+
+def vote_runs(rows: DataFrame, runs: int, threshold: float = 0.6) -> DataFrame:
+    """study, cluster, votes, share of the clusters of repeated extractions that reach the threshold, most votes first.
+    ``rows``: study, ord (run by run), title, first_author, year, doi, pmid; each row is a vote, as published."""
+    clusters = identity.greedy_clusters(rows, "study", "ord", ["title", "first_author", "year"], extraction_similarity, identifiers=("doi", "pmid"))
+    return gold.votes(clusters.select("study", "cluster", F.col("ord").alias("run")), runs, threshold).orderBy(F.col("votes").desc(), "study", "cluster")

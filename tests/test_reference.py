@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from litlens.functions import citations, query_text, similarity
 from litlens.operators import fuzzy, gold, identity, metrics, strategies
-from litlens.plans import catalog
+from litlens.plans import catalog, pipeline
 
 DATA = "/root/testdata/sf0.001"
 
@@ -131,6 +131,16 @@ def test_greedy_clusters(spark):
     assert {(r.study, r.n): r.cluster for r in got.collect()} == {("s", 1): 0, ("s", 2): 0, ("s", 3): 1, ("t", 1): 0}
 
 
+def test_runs_vote_over_clusters_whose_representative_gains_identifiers(spark):
+    chain = spark.createDataFrame([("s", 1, "aaaa", None), ("s", 2, "aaab", "10.1/x"), ("s", 3, "aabb", None)], "study string, n int, t string, doi string")
+    near = lambda a, b: sum(x == y for x, y in zip(a, b, strict=True)) / 4
+    label = lambda **more: {r.n: r.cluster for r in identity.greedy_clusters(chain, "study", "n", "t", near, 0.75, **more).collect()}
+    assert label() == {1: 0, 2: 0, 3: 1} and label(identifiers=("doi",)) == {1: 0, 2: 0, 3: 0}
+    rows = [("s", 1, "Sleep and mood in nurses", "Brask", 2001, None, None), ("s", 2, "Pain after surgery", "Kroba", None, None, None), ("s", 3, "Sleep and mood in nurses.", "Brask", 2001, "10.1/x", None), ("s", 4, "Sleep and moods in nurses", "Brask", 2002, None, "7"), ("t", 1, None, None, None, None, None)]
+    got = pipeline.vote_runs(spark.createDataFrame(rows, "study string, ord int, title string, first_author string, year int, doi string, pmid string"), 3)
+    assert [tuple(r) for r in got.collect()] == [("s", 0, 3, 1.0)]
+
+
 def test_partitions_do_not_matter(spark):
     old = spark.conf.get("spark.sql.shuffle.partitions")
     out = []
