@@ -69,11 +69,11 @@ def _resolved(names: DataFrame) -> DataFrame:
     people = plain.where("kind = 'person'")
     as_family = people.groupBy(F.col("family").alias("word")).agg(F.count(F.lit(1)).alias("f"), F.lit(0).cast("long").alias("g"))
     as_given = people.select(F.split("given", " ")[0].alias("word"), "family").where(F.length("word") > 1).distinct().groupBy("word").agg(F.lit(0).cast("long").alias("f"), F.count(F.lit(1)).alias("g"))
-    roles = as_family.unionByName(as_given).groupBy("word").agg(F.least(F.sum("f"), F.lit(3)).alias("f"), F.least(F.sum("g"), F.lit(3)).alias("g"))
+    roles = as_family.unionByName(as_given).groupBy("word").agg(F.log((F.sum("f") + 1) / (F.sum("g") + 1)).alias("family_odds"))
     options = parsed.where(F.size("readings") == 2).select("name", "n", "kind", F.posexplode("readings").alias("pos", "r")).select("name", "n", "kind", "pos", "r.family", "r.given", F.split("r.given", " ")[0].alias("lead"))
-    fam, lead = roles.select(F.col("word").alias("family"), F.col("f").alias("ff"), F.col("g").alias("fg")), roles.select(F.col("word").alias("lead"), F.col("f").alias("gf"), F.col("g").alias("gg"))
+    fam, lead = roles.select(F.col("word").alias("family"), F.col("family_odds").alias("fo")), roles.select(F.col("word").alias("lead"), F.col("family_odds").alias("lo"))
     scored = options.join(fam, "family", "left").join(lead, "lead", "left")
-    score = F.coalesce("ff", F.lit(0)) + F.coalesce("gg", F.lit(0)) - F.coalesce("gf", F.lit(0)) - F.coalesce("fg", F.lit(0))
+    score = F.round(F.coalesce("fo", F.lit(0.0)) - F.coalesce("lo", F.lit(0.0)), 9)
     best = scored.groupBy("name").agg(F.max(F.struct(score.alias("s"), (-F.col("pos")).alias("p"), "n", "kind", "family", "given")).alias("b"))
     return plain.unionByName(best.select("name", "b.n", "b.kind", "b.family", "b.given"))
 

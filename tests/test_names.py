@@ -88,3 +88,11 @@ def test_ordinary_buckets_are_exact_for_shorter_families(spark):
     df = spark.createDataFrame([("person", n) for n in sorted(names)], "kind string, family string")
     got = {(r.fa, r.fb) for r in _near_families(df, 3, 0.5, 0.98, 3, Scratch(spark, "t")).collect()}
     assert exact_length(0.5, 3) == 10 and near_by_brute_force(names) <= got
+
+
+def test_rare_other_use_of_a_family_name_changes_no_reading(spark):
+    from litlens.operators.names import _resolved
+
+    plain = [(f"Vera {c}.", 1) for c in "ABCDEFGHIJ"] + [(f"{w}, Vera", 1) for w in ("Sote", "Maso", "Kroba")]
+    got = {r.name: r.family for r in _resolved(spark.createDataFrame([*plain, ("Vera Zibo", 1)], "name string, n long")).collect()}
+    assert got["Vera Zibo"] == "vera"
