@@ -104,12 +104,11 @@ def validated_pmids(claims: DataFrame, preferred: str) -> DataFrame:
 def titles_across_sources(rows: DataFrame, primary: str, similar, threshold: float = 0.7) -> DataFrame:
     """Each row of the primary source with the most similar title of every other source in its study, of at least
     ``threshold``; ties keep the first ``ord``. ``rows``: study, source, ord, title, pmid; ``similar`` compares two
-    columns. Candidates share a word of the title, so a study's rows are never all paired."""
-    words = F.array_distinct(F.filter(F.split(F.lower("title"), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > 2))
-    each = rows.where("title is not null").withColumn("w", F.explode(words))
-    a = each.where(F.col("source") == primary).select("study", "w", F.col("ord").alias("main"), F.col("title").alias("main_title"))
+    columns. All pairs of a study are compared: similar titles need not share a word."""
+    each = rows.where("title is not null")
+    a = each.where(F.col("source") == primary).select("study", F.col("ord").alias("main"), F.col("title").alias("main_title"))
     b = each.where(F.col("source") != primary)
-    pairs = a.join(b, ["study", "w"]).drop("w").dropDuplicates(["study", "main", "source", "ord"])
+    pairs = a.join(b, "study")
     scored = pairs.withColumn("similarity", similar(F.col("main_title"), F.col("title"))).where(F.col("similarity") >= threshold)
     order = Window.partitionBy("study", "main", "source").orderBy(F.col("similarity").desc(), "ord")
     return scored.withColumn("rn", F.row_number().over(order)).where("rn = 1").select("study", "main", "source", "ord", "pmid", "similarity")

@@ -162,6 +162,12 @@ def test_gold_checks(spark):
     assert [(r.main, r.source, r.pmid) for r in gold.titles_across_sources(titles, "a", similarity.obershelp_batch).collect()] == [(1, "b", "2")]
 
 
+def test_titles_across_sources_need_no_common_word(spark):
+    rows = [("s", "a", 1, "Polysomnography", None), ("s", "b", 2, "Polysomnografy", "2"), ("s", "b", 3, "Pain", "3"), ("s", "a", 4, "睡眠时间与情绪障碍的关系", None), ("s", "b", 5, "睡眠时间和情绪障碍的关系", "5")]
+    titles = spark.createDataFrame(rows, "study string, source string, ord int, title string, pmid string")
+    assert {(r.main, r.pmid) for r in gold.titles_across_sources(titles, "a", similarity.obershelp_batch).collect()} == {(1, "2"), (4, "5")}
+
+
 def test_study_metadata(spark):
     text = 'x AND ("2001/02/03"[Date - Publication] : "2010/12/31"[Date - Publication]) sleep sleep cancer'
     keys = {"oncology": ["cancer", "tumour"], "sleep medicine": ["sleep"]}
