@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from litlens.functions.text import LOOK_ALIKES
+from litlens.llm.text import LOOK_ALIKES
 
 # Decomposition tags of the character database that keep the look; blanks and ligatures are <compat>.
 _SAME_LOOK = {"<wide>", "<narrow>", "<font>", "<noBreak>", "<compat>", "<initial>", "<medial>", "<final>", "<isolated>"}
