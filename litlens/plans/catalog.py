@@ -1,6 +1,6 @@
 """All core queries and their SQL twins, by name."""
 
-from litlens.plans import problems, reference
+from litlens.plans import reference
 
-QUERIES = {**reference.QUERIES, **problems.QUERIES}
-SQL: dict[str, str] = {**reference.SQL, **problems.SQL}
+QUERIES = dict(reference.QUERIES)
+SQL: dict[str, str] = dict(reference.SQL)
