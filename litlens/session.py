@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +22,9 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+_LOCAL_MAP = "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold"
+
+
 class Scratch:
     """Tables written to the shared folder during one operator; a reader never depends on a live executor.
 
@@ -32,14 +36,30 @@ class Scratch:
         self.spark, self.base = spark, f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         self.n = 0
 
-    def cut(self, df: DataFrame) -> DataFrame:
+    def cut(self, df: DataFrame, *watched: Column) -> DataFrame:
+        """The frame written and read back; ``watched`` are aggregates observed while it is written (see ``seen``)."""
         self.n += 1
         path = f"{self.base}/{self.n}"
-        df.write.option("compression", "zstd").parquet(path)
+        seen = Observation()
+        # joins may hash instead of sort, where the statistics of the finished shuffles show every partition to be small
+        before = self.spark.conf.get(_LOCAL_MAP)
+        self.spark.conf.set(_LOCAL_MAP, "16m")
+        try:
+            df.observe(seen, F.count(F.lit(1)).alias("rows"), *watched).write.option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(_LOCAL_MAP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
-        out._scratch_path = path
+        out._scratch_path, out._scratch_seen = path, seen
         return out
 
+    def seen(self, df: DataFrame) -> dict:
+        """What was observed while a cut frame was written: ``rows`` and the watched aggregates."""
+        return df._scratch_seen.get
+
+    def rows(self, df: DataFrame) -> int:
+        """The number of rows of a cut frame, without reading it."""
+        return self.seen(df)["rows"]
+
     def drop(self, df: DataFrame) -> None:
         path = getattr(df, "_scratch_path", None)
         if path:
