@@ -78,3 +78,21 @@ def test_beliefs_are_exact_on_trees(spark, units):
     found = {(r.x, r.y): r.confidence for r in got.collect()}
     for u, want in zip(units, exact(units), strict=True):
         assert abs(found[u[:2]] - want) < 1e-4
+
+
+def test_shouted_greek_and_two_typos_in_a_word():
+    w = lambda t: title_form(t)[0]
+    assert w("A 5 ΜG DOSE OF IL-1Β") == w("a 5 μg dose of IL-1β") == w("a 5 µg dose of IL-1β")
+    assert title_score(w(A), w(A.replace("narcolepsy", "narcloepys"))) > 3 and title_score(w(A), w(A.replace("narcolepsy", "nacrloepsiy"))) < 0
+
+
+def test_records_that_a_head_rejects_meet_each_other(spark):
+    """Many articles share a first group and a year; copies of each must still become one class."""
+    kind = "id long, title string, first_author string, year int, journal string"
+    topics = ["naps", "light", "noise", "music", "yoga", "diet", "caffeine", "exercise", "massage", "reading", "walking", "swimming"]
+    left = [(10 * i + k, f"Effect of evening {t} upon night workers", a, 2001, None) for i, t in enumerate(topics) for k, a in enumerate(("Brask R", "Brask", None))]
+    right = [(1000 + i, f"Effect of evening {t} upon night workers", "Brask", 2001, "Sleep") for i, t in enumerate(topics)]
+    cols = ("id", "title", "first_author", "year", "journal")
+    got = {(r.left_id, r.right_id) for r in match(spark.createDataFrame(left, kind), spark.createDataFrame(right, kind), cols, cols).collect() if r.confidence >= 0.5}
+    assert got == {(10 * i + k, 1000 + i) for i in range(len(topics)) for k in range(3)}
+    assert match(spark.createDataFrame([], kind), spark.createDataFrame([], kind), cols, cols).count() == 0
