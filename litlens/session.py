@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import re
 import tempfile
 import uuid
 
@@ -14,9 +16,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach; a temporary one only where the session names none (tests)."""
+    """The folder every executor can reach, as ``spark.checkpoint.dir`` names it. Only a session on this machine alone
+    may leave it unset and gets a temporary one; on a cluster that would be another folder on every machine."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="litlens-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -60,6 +65,11 @@ class Scratch:
         """The number of rows of a cut frame, without reading it."""
         return self.seen(df)["rows"]
 
+    def release(self) -> None:
+        """Let the shuffle files of finished steps go now, not when the driver next happens to collect its garbage."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, df: DataFrame) -> None:
         path = getattr(df, "_scratch_path", None)
         if path:
