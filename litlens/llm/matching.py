@@ -226,21 +226,25 @@ def _same_article(records: DataFrame, siblings: DataFrame, same: float, scratch:
     """
     members = records.select("side", "rec", "sig", F.explode("keys").alias("key")).where("key is not null").select(F.xxhash64("key", "side").alias("key"), "rec", "sig")
     heads = members.groupBy("key").agg(F.min("rec").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "a")
-    signatures = records.select(F.col("rec").alias("a"), F.col("sig").alias("sa"))
+    signatures = records.select("rec", "sig")
     found, count = [], 1
     while True:
-        met = heads.join(members.select("key", F.col("rec").alias("b"), F.col("sig").alias("sb")), "key").where("a <> b").join(signatures, "a")
-        spokes = scratch.cut(met.select("key", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("b").alias("rec"), F.col("sb").alias("sig"), _plausible("sa", "sb").alias("plausible")))
+        leads = heads.join(signatures.select(F.col("rec").alias("a"), F.col("sig").alias("sa")), "a")
+        met = leads.join(members.select("key", "rec", F.col("sig").alias("sb")), "key").where("a <> rec")
+        spokes = scratch.cut(met.select("key", "rec", F.least("a", "rec").alias("a"), F.greatest("a", "rec").alias("b"), _plausible("sa", "sb").alias("plausible")))
         if scratch.rows(spokes) == 0:
             break
         pairs = spokes.where("plausible").select("a", "b")
         links = scratch.cut(_scored((pairs.unionByName(siblings) if count == 1 else pairs).distinct(), records).where(F.col("score") >= same).select("a", "b"))
         found.append(links)
-        joined = spokes.join(links.withColumn("linked", F.lit(True)), ["a", "b"], "left").select("key", "rec", "sig.w", "sig.e", F.coalesce("linked", F.lit(False)).alias("linked"))
+        joined = spokes.join(links.withColumn("linked", F.lit(True)), ["a", "b"], "left").select("key", "rec", F.coalesce("linked", F.lit(False)).alias("linked"))
         if count > 1:
-            joined = joined.unionByName(heads.select("key", F.col("a").alias("rec"), F.lit(0).cast("long").alias("w"), F.lit(0).cast("long").alias("e"), F.lit(True).alias("linked")))
-        rest = joined.groupBy("key", "rec").agg(F.max("w").alias("w"), F.max("e").alias("e"), F.max("linked").alias("linked")).where("not linked")
-        members = scratch.cut(rest.select("key", "rec", F.struct("w", "e").alias("sig")))
+            joined = joined.unionByName(heads.select("key", F.col("a").alias("rec"), F.lit(True).alias("linked")))
+        rest = joined.groupBy("key", "rec").agg(F.max("linked").alias("linked")).where("not linked").select("key", "rec")
+        last, members = members, scratch.cut(rest.join(signatures, "rec"))
+        scratch.drop(last)
+        scratch.drop(spokes)
+        scratch.release()
         count *= 4
         order = F.row_number().over(Window.partitionBy("key").orderBy("rec"))
         heads = members.select("key", F.col("rec").alias("a"), order.alias("r")).where(F.col("r") <= count).select("key", "a")
@@ -278,6 +282,7 @@ def match(left: DataFrame, right: DataFrame, left_cols: tuple[str, ...], right_c
     a = keys.where("side = 0").select("key", F.col("rec").alias("a"), F.col("sig").alias("sa"))
     b = keys.where("side = 1").select("key", F.col("rec").alias("b"), F.col("sig").alias("sb"))
     pairs = scratch.cut(_scored(a.join(b, "key").where(_plausible("sa", "sb")).select("a", "b").distinct(), records))
+    scratch.release()
     siblings = _siblings(pairs, "a", "b").unionByName(_siblings(pairs, "b", "a"))
     classes = components(_same_article(records, siblings, same, scratch), "a", "b")
 
