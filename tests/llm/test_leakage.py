@@ -53,3 +53,29 @@ def test_find_and_remove(spark):
     clean = {r.doc_id: r.clean_text for r in remove_leaks(d.where("doc_id <> 1"), "text", i, "item_id", "text").collect()}
     assert clean[6] is None and clean[3] is None and clean[4] == "" and clean[5] == "word " * 100_000 and clean[2] == docs[1][1]
     assert find_leaks(d.limit(0), "doc_id", "text", i, "item_id", "text").count() == 0 and find_leaks(d, "doc_id", "text", i.limit(0), "item_id", "text").count() == 0
+
+
+FORMS = "Die Prüfung der größten Übersichtsarbeit zeigt für ältere Schlafgestörte eine höhere Güte früher Suchläufe über mehrere Bücher"
+
+
+def test_one_form(spark):
+    import unicodedata
+
+    wide = FORMS.translate({c: c + 0xFEE0 for c in range(0x41, 0x7B)})
+    unseen = FORMS.replace("f", "f\u200b").replace("e", "e\u2060")
+    docs = [(1, FORMS), (2, unicodedata.normalize("NFD", FORMS)), (3, wide), (4, unseen), (5, FORMS.upper()), (6, FORMS.replace("zeigt", "sagt"))]
+    d, i = spark.createDataFrame(docs, "d long, t string"), spark.createDataFrame([(7, FORMS)], "i long, t string")
+    assert sorted(r.d for r in find_leaks(d, "d", "t", i, "i", "t").collect()) == [1, 2, 3, 4, 5]
+    around = spark.createDataFrame([(n, "Vorwort über Köpfe. " * 9 + t + " Ende ﬁn.") for n, t in docs[1:4]], "d long, t string")
+    assert all(r.clean_text.startswith("Vorwort über Köpfe. ") and r.clean_text.endswith(" Ende ﬁn.") and len(r.clean_text) < 200 for r in remove_leaks(around, "t", i, "i", "t").collect())
+
+
+def test_shards_find_the_same(spark):
+    rng = random.Random(12)
+    texts = [" ".join(rng.choice("abcdefgh") + str(rng.randint(0, 3)) for _ in range(30)) for _ in range(12)]
+    docs = [(n, " ".join(texts[n % 12].split()[k : k + 15]) + " x " + texts[(n + 5) % 12]) for n, k in enumerate(range(0, 15))]
+    d, i = spark.createDataFrame(docs, "d long, t string"), spark.createDataFrame(list(enumerate(texts)), "i long, t string")
+    rows = lambda n: sorted(tuple(r) for r in find_leaks(d, "d", "t", i, "i", "t", 6, shard_words=n).collect())
+    assert rows(10**6) == rows(70) == rows(1)
+    cleaned = lambda n: sorted(tuple(r) for r in remove_leaks(d, "t", i, "i", "t", 6, 0.9, n).collect())
+    assert cleaned(10**6) == cleaned(70)
