@@ -5,7 +5,8 @@ the look-alike table, decomposition again. Texts with equal skeletons look the s
 covers what makes *no* visible difference (width of letters and blanks, ligatures, roman-numeral characters,
 letters of other scripts with the same shape, characters that do not show); letter case, accents, super- and
 subscripts, dashes of different length and quotes stay different. Most of the table follows from the character
-database by rule; only the letters shared by shape between scripts are listed.
+database by rule. The letters shared by shape between scripts are those of the Unicode look-alike data, which the
+driver asks the spoof checker of Spark's own ICU library for, once a session; a small list stands in without a session.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,12 +29,43 @@ _BLANKS = re.compile(r"\s+")
 PLAIN = r"^[\x20-\x7e]*$"
 
 
+# Scripts whose letters are drawn as Latin ones where the look-alike data says so, and the small Greek
+# letters of which that is true; the others (alpha, gamma, iota, rho, sigma, upsilon) visibly differ from a, y, i, p, o, u.
+SCRIPTS = ("ARMENIAN", "CHEROKEE", "COPTIC", "CYRILLIC", "GEORGIAN", "GREEK", "LISU", "TIFINAGH")
+_SMALL_GREEK = "οϳν"
+_LETTERS: dict[str, str] = {}
+
+
+def lookalike_letters(spark: SparkSession) -> dict[str, str]:
+    """Letters of other scripts and the one Latin letter each looks like, by the session's ICU look-alike data.
+
+    The data gives capital I, small l and 1 one prototype, which visibly differ here; so a capital with it becomes I.
+    """
+    if not _LETTERS:
+        found = [chr(c) for c in range(0x370, 0x110000) if unicodedata.category(chr(c)) in ("Lu", "Ll", "Lo") and unicodedata.name(chr(c), "").startswith(SCRIPTS)]
+        checker = spark.sparkContext._jvm.com.ibm.icu.text.SpoofChecker.Builder().build()
+        for char, like in zip(found, checker.getSkeleton("\n".join(found)).split("\n"), strict=True):
+            kind = unicodedata.category(char)
+            if unicodedata.name(char).startswith("GREEK SMALL") and char not in _SMALL_GREEK:
+                continue
+            if like == "l" and kind != "Ll":
+                like = "I"
+            if len(like) == 1 and like.isascii() and like.isalpha():
+                _LETTERS[char] = like
+        _LETTERS.update(LOOK_ALIKES)
+    return _LETTERS
+
+
 class _Table(dict):
-    """Prototypes by code point, found by rule at first use."""
+    """Prototypes by code point, found by rule at first use; ``letters`` come first."""
+
+    def __init__(self, letters: dict[str, str]):
+        super().__init__()
+        self.letters = letters
 
     def __missing__(self, code: int):
         char = chr(code)
-        out = LOOK_ALIKES.get(char)
+        out = self.letters.get(char)
         if out is None:
             tag, _, rest = unicodedata.decomposition(char).partition(" ")
             category = unicodedata.category(char)
@@ -41,7 +73,7 @@ class _Table(dict):
                 out = " "
             elif category in ("Cc", "Cf") and not char.isspace():
                 out = ""
-            elif tag in _SAME_LOOK and rest:
+            elif tag in _SAME_LOOK and rest and not (tag == "<compat>" and category in ("So", "No")):  # No. and (1) in one character are drawn otherwise
                 out = "".join(self[int(x, 16)] if int(x, 16) != code else chr(int(x, 16)) for x in rest.split())
             else:
                 out = char
@@ -49,25 +81,27 @@ class _Table(dict):
         return out
 
 
-_TABLE = _Table()
-
-
-def skeleton_text(text: str) -> str:
+def skeleton_text(text: str, table: dict | None = None) -> str:
     """The skeleton of one text."""
-    text = unicodedata.normalize("NFD", _INVISIBLE.sub("", text)).translate(_TABLE)
+    text = unicodedata.normalize("NFD", _INVISIBLE.sub("", text)).translate(_TABLE if table is None else table)
     return _BLANKS.sub(" ", unicodedata.normalize("NFD", text)).strip()
 
 
-@F.pandas_udf(T.StringType())
-def _skeletons(texts: pd.Series) -> pd.Series:
-    return texts.map(skeleton_text, na_action="ignore")
+_TABLE = _Table(LOOK_ALIKES)
 
 
 def skeleton(col: Column) -> Column:
     """Skeleton of a text column: null for null, empty for texts that show nothing. Only texts with characters
     beyond plain ASCII go to Python, in Arrow batches; the others are squeezed in the JVM."""
+    letters = dict(lookalike_letters(SparkSession.active()))
+
+    @F.pandas_udf(T.StringType())
+    def skeletons(texts: pd.Series) -> pd.Series:
+        table = _Table(letters)
+        return texts.map(lambda t: skeleton_text(t, table), na_action="ignore").astype(object)
+
     plain = F.trim(F.regexp_replace(col, "[\\x00-\\x20]+", " "))
-    return F.coalesce(_skeletons(F.when(~col.rlike(PLAIN), col)), plain)
+    return F.coalesce(skeletons(F.when(~col.rlike(PLAIN), col)), plain)
 
 
 def lookalike_pairs(left: DataFrame, left_id: str, left_text: str, right: DataFrame, right_id: str, right_text: str) -> DataFrame:

@@ -2,7 +2,7 @@ import unicodedata
 
 from pyspark.sql import functions as F
 
-from litlens.llm.confusables import lookalike_pairs, skeleton, skeleton_text
+from litlens.llm.confusables import lookalike_letters, lookalike_pairs, skeleton, skeleton_text
 
 
 def test_what_looks_the_same():
@@ -39,3 +39,12 @@ def test_hot_title(spark):
     a = spark.range(3000).select(F.col("id").alias("x"), F.lit("Same title").alias("t"))
     b = spark.range(3000).select(F.col("id").alias("y"), F.when(F.col("id") == 0, "Ｓame title").otherwise("Same title").alias("t"))
     assert lookalike_pairs(a, "x", "t", b, "y", "t").count() == 3000
+
+
+def test_letters_of_the_look_alike_data(spark):
+    letters = lookalike_letters(spark)
+    assert [letters.get(c) for c in "օսհᎪᎬᎳꓮꓐꓑνѵЬ"] == list("ouhAEWABPvvb") and len(letters) > 150
+    assert not {"α", "γ", "ι", "ρ", "σ", "υ", "β"} & letters.keys() and all(len(v) == 1 and v.isascii() for v in letters.values()) and letters["І"] == "I" and letters["і"] == "i"
+    same, apart = [("Ꭺ ѵisіt", "A visit"), ("ꓐody", "Body")], [("TNF-α", "TNF-a"), ("№ 1", "No 1"), ("⑴", "(1)")]
+    rows = spark.createDataFrame([*same, *apart], "a string, b string").select((skeleton(F.col("a")) == skeleton(F.col("b"))).alias("same")).collect()
+    assert [r.same for r in rows] == [True, True, False, False, False]
