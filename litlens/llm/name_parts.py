@@ -167,16 +167,35 @@ def _part(a: str, b: str) -> float:
 
 
 def given_similarity(a: str, b: str) -> float:
-    """Monge-Elkan mean of the given parts in order over the shorter list; 0 where any part contradicts."""
+    """Monge-Elkan mean over the shorter list of given parts: each part's best counterpart, no part used twice, none
+    without one. Initials and left-out parts keep their order, for J P and P J are two people; full parts may come
+    in another (Jean Paul, Paul Jean) where both names have the same number of them."""
     x, y = a.split(), b.split()
     if not x or not y:
         return 0.0
     scores = [_part(p, q) for p, q in zip(x, y, strict=False)]
+    if min(scores) == 0.0 and len(x) == len(y) > 1 and min(map(len, x + y)) > 1:
+        scores, left = [], list(y)
+        for p in x:
+            found = max(left, key=lambda q: _part(p, q))
+            scores.append(_part(p, found))
+            left.remove(found)
     if min(scores) == 0.0:
         return 0.0
     return sum(scores) / len(scores) - (0.02 if len(x) != len(y) else 0.0)
 
 
+def given_letters(given: str) -> list[str]:
+    """Letters of which two given parts that agree share one: the first of the first part, or of any full part where
+    all are full, and of the formal names it may stand for; the second too where a typo may have touched the first."""
+    parts = given.split()
+    out: set[str] = set()
+    for p in parts if parts and min(map(len, parts)) > 1 else parts[:1]:
+        for form in {p} | FORMAL.get(p, frozenset()):
+            out |= set(form[:2] if len(form) >= 4 else form[:1])
+    return sorted(out)
+
+
 def group_similarity(a: str, b: str) -> float:
     """Symmetric Monge-Elkan mean of the words besides the proper name; 0 where a word has no counterpart."""
     x, y = a.partition("|")[0].split(), b.partition("|")[0].split()

@@ -10,13 +10,14 @@ after the first aggregation.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from litlens.llm.name_parts import given_similarity, group_similarity, parse
+from litlens.llm.name_parts import given_letters, given_similarity, group_similarity, parse
 from litlens.session import Scratch
 
 _READING = T.StructType([T.StructField("family", T.StringType()), T.StructField("given", T.StringType())])
@@ -57,8 +58,23 @@ def _parsed(names: pd.Series) -> pd.DataFrame:
 
 
 @F.pandas_udf(T.DoubleType())
-def _agreement(kind: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([(group_similarity if k == "group" else given_similarity)(x, y) for k, x, y in zip(kind, a, b, strict=True)], dtype="float64")
+def _agreement(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    known: dict = {}
+    for batch in batches:
+        out = []
+        for k, x, y in zip(*batch, strict=True):
+            found = known.get((k, x, y))
+            if found is None:
+                if len(known) > 200_000:
+                    known.clear()
+                found = known[k, x, y] = (group_similarity if k == "group" else given_similarity)(x, y)
+            out.append(found)
+        yield pd.Series(out, dtype="float64")
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _letters(kinds: pd.Series, given: pd.Series) -> pd.Series:
+    return pd.Series([["*"] if k == "group" else given_letters(g) for k, g in zip(kinds, given, strict=True)], dtype=object)
 
 
 def _resolved(names: DataFrame) -> DataFrame:
@@ -78,26 +94,26 @@ def _resolved(names: DataFrame) -> DataFrame:
     return plain.unionByName(best.select("name", "b.n", "b.kind", "b.family", "b.given"))
 
 
-def _near_families(profiles: DataFrame, q: int, similarity: float, recall: float, rows: int, scratch: Scratch, bucket: int = 2000) -> DataFrame:
+def _near_families(profiles: DataFrame, q: int, similarity: float, recall: float, rows: int, scratch: Scratch) -> DataFrame:
     """kind, fa, fb (fa < fb): family parts within one edit of each other, found through shared bands.
 
-    Buckets of more than ``bucket`` families are not paired within: their families meet exactly through equal
-    remainders after leaving out one letter, which any two strings within one edit have in common. So do families
-    so short that a typo can leave them less than ``similarity``, whatever the size of their buckets. One edit leaves
-    nothing in common between two families of one or two letters (Li and Lu); they stay apart.
+    A band's families are compared where they begin or end with the same three letters, as any two of them within one
+    edit do; so buckets of all sizes are treated alike and lose nothing. Families so short that a typo can leave them
+    less than ``similarity`` meet through equal remainders after leaving out one letter, which any two strings within
+    one edit have in common. One edit leaves nothing in common between two families of one or two letters (Li and
+    Lu); they stay apart.
     """
     short = exact_length(similarity, q)
     # hashing is the work here, not bytes: keep the tasks that adaptive execution would merge
     tasks = int(profiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     families = profiles.select("kind", "family").where("family <> ''").distinct().repartition(tasks, "family")
-    keyed = scratch.cut(families.where(F.length("family") >= short).select("kind", "family", F.explode(minhash_bands(F.col("family"), q, rows, bands_for(similarity, recall, rows))).alias("key")))
-    crowded = keyed.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket).select("kind", "key")
-    small = keyed.join(crowded, ["kind", "key"], "left_anti")
-    a = small.select("kind", "key", F.col("family").alias("fa"))
-    b = small.select("kind", "key", F.col("family").alias("fb"))
+    banded = families.where(F.length("family") >= short).select("kind", "family", F.explode(minhash_bands(F.col("family"), q, rows, bands_for(similarity, recall, rows))).alias("band"))
+    ends = F.array(F.xxhash64("kind", "band", F.lit("^"), F.substring("family", 1, 3)), F.xxhash64("kind", "band", F.lit("$"), F.substring("family", -3, 3)))
+    keyed = scratch.cut(banded.select("kind", "family", F.explode(ends).alias("key")))
+    a = keyed.select("kind", "key", F.col("family").alias("fa"))
+    b = keyed.select("kind", "key", F.col("family").alias("fb"))
     left_out = F.transform(F.sequence(F.lit(0), F.length("family")), lambda i: F.concat(F.substring("family", F.lit(1), i - 1), F.substring("family", i + 1, F.length("family"))))
-    exact = keyed.join(crowded, ["kind", "key"], "left_semi").select("kind", "family").unionByName(families.where(F.length("family") <= short))
-    many = exact.distinct().select("kind", "family", F.explode(F.array_distinct(left_out)).alias("rest"))
+    many = families.where(F.length("family") <= short).select("kind", "family", F.explode(F.array_distinct(left_out)).alias("rest"))
     c = many.select("kind", "rest", F.col("family").alias("fa"))
     e = many.select("kind", "rest", F.col("family").alias("fb"))
     met = a.join(b, ["kind", "key"]).select("kind", "fa", "fb").unionByName(c.join(e, ["kind", "rest"]).select("kind", "fa", "fb"))
@@ -106,20 +122,19 @@ def _near_families(profiles: DataFrame, q: int, similarity: float, recall: float
     return met.where("fa < fb and greatest(length(fa), length(fb)) > 2").where((F.abs(F.length("fa") - F.length("fb")) <= 1) & ((d == 1) | swapped)).distinct()
 
 
-def star_clusters(nodes: DataFrame, edges: DataFrame, scratch: Scratch, max_rounds: int = 100) -> DataFrame:
+def star_clusters(nodes: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
     """``node``, ``centre`` by star clustering in rounds.
 
     ``nodes``: node, weight (any orderable, unique with the node); ``edges``: a, b, sim. In each round every node
     that outweighs all its unassigned neighbours becomes a centre and takes its unassigned neighbours; a node
-    between several centres goes to the most similar, then the heaviest. Nodes without neighbours are centres.
+    between several centres goes to the most similar, then the heaviest. Nodes without neighbours are centres. The
+    heaviest unassigned node is always a centre, so every round assigns nodes and the rounds end.
     """
     both = edges.select(F.explode(F.array(F.struct("a", "b", "sim"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))).alias("e")).select("e.a", "e.b", "e.sim")
     rank = nodes.select("node", F.struct("weight", "node").alias("rank"))
     work = scratch.cut(both.join(rank.select(F.col("node").alias("a"), F.col("rank").alias("ra")), "a").join(rank.select(F.col("node").alias("b"), F.col("rank").alias("rb")), "b"))
     done = []
-    for _ in range(max_rounds):
-        if work.isEmpty():
-            break
+    while scratch.rows(work):
         lead = work.groupBy("a").agg(F.first("ra").alias("ra"), F.max("rb").alias("top")).where("ra > top").select(F.col("a").alias("c"))
         taken = work.join(lead.withColumnRenamed("c", "b"), "b").groupBy("a").agg(F.max(F.struct("sim", "rb", "b")).alias("m"))
         # a centre has no heavier neighbour, so centres are never neighbours of each other
@@ -130,8 +145,6 @@ def star_clusters(nodes: DataFrame, edges: DataFrame, scratch: Scratch, max_roun
         following = scratch.cut(left)
         scratch.drop(work)
         work = following
-    else:
-        raise RuntimeError("star clustering did not end")
     if not done:
         return nodes.select("node", F.col("node").alias("centre"))
     placed = done[0]
@@ -156,10 +169,11 @@ def link_names(names: DataFrame, column: str, q: int = 3, similarity: float = 0.
     profiles = scratch.cut(known.groupBy("node", "kind", "family", "given").agg(F.sum("n").alias("n")).withColumn("weight", F.struct(F.least(parts, F.lit(2)).alias("parts"), F.col("n"), full.alias("full"))))
     near = _near_families(profiles, q, similarity, recall, rows, scratch)
     spans = scratch.cut(near.unionByName(profiles.select("kind", F.col("family").alias("fa"), F.col("family").alias("fb")).distinct()))
-    left = profiles.select("kind", F.col("family").alias("fa"), F.col("given").alias("ga"), F.col("node").alias("a"))
-    right = profiles.select("kind", F.col("family").alias("fb"), F.col("given").alias("gb"), F.col("node").alias("b"))
-    pairs = spans.join(left, ["kind", "fa"]).join(right, ["kind", "fb"]).where("fa < fb or a < b")
-    # given parts that begin with different letters can only agree through a short form; those are few families
+    # given parts that agree share a letter, through short forms and typos too; a pair counts at the first they share
+    lettered = profiles.withColumn("letters", _letters("kind", "given")).select("kind", "family", "given", "node", "letters", F.explode("letters").alias("letter"))
+    left = lettered.select("kind", F.col("family").alias("fa"), F.col("given").alias("ga"), F.col("node").alias("a"), F.col("letters").alias("la"), "letter")
+    right = lettered.select("kind", F.col("family").alias("fb"), F.col("given").alias("gb"), F.col("node").alias("b"), F.col("letters").alias("lb"), "letter")
+    pairs = spans.join(left, ["kind", "fa"]).join(right, ["kind", "fb", "letter"]).where("(fa < fb or a < b) and letter = array_min(array_intersect(la, lb))")
     scored = pairs.withColumn("sim", _agreement("kind", "ga", "gb") - F.when(F.col("fa") == F.col("fb"), 0.0).otherwise(0.05)).where(F.col("sim") >= accept)
     # "Somewhere SACN" is written for "Somewhere Sleep Apnoea Collaborative Network"
     groups = profiles.where("kind = 'group'").select("family", F.split("given", r"\|")[1].alias("given"), F.col("node").alias("a"))

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from litlens.llm.name_parts import given_similarity, parse, within_one
+from litlens.llm.name_parts import given_letters, given_similarity, parse, within_one
 from litlens.llm.names import bands_for, link_names, minhash_bands, name_pairs
 
 
@@ -51,7 +51,7 @@ def test_crowded_buckets_are_exact(spark):
     rng = random.Random(4)
     names = sorted({"".join(rng.choice("abk") for _ in range(rng.randint(5, 7))) for _ in range(400)})
     df = spark.createDataFrame([("person", n) for n in names], "kind string, family string")
-    got = {(r.fa, r.fb) for r in _near_families(df, 3, 0.5, 0.98, 3, Scratch(spark, "t"), bucket=0).collect()}
+    got = {(r.fa, r.fb) for r in _near_families(df, 3, 0.5, 0.98, 3, Scratch(spark, "t")).collect()}
     want = {(a, b) for a in names for b in names if a < b and within_one(a, b)}
     assert want <= got and all(sorted(a) == sorted(b) for a, b in got - want)
 
@@ -96,3 +96,38 @@ def test_rare_other_use_of_a_family_name_changes_no_reading(spark):
     plain = [(f"Vera {c}.", 1) for c in "ABCDEFGHIJ"] + [(f"{w}, Vera", 1) for w in ("Sote", "Maso", "Kroba")]
     got = {r.name: r.family for r in _resolved(spark.createDataFrame([*plain, ("Vera Zibo", 1)], "name string, n long")).collect()}
     assert got["Vera Zibo"] == "vera"
+
+
+def test_given_parts_in_another_order():
+    assert given_similarity("jean paul", "paul jean") == 1.0 and given_similarity("jean paul", "pual jean") > 0.9 and given_similarity("j p", "p j") == 0.0
+    assert given_similarity("jean paul", "paul") == 0.0 and given_similarity("anna maria", "maria") == 0.0
+
+
+def test_letters_never_part_what_agrees():
+    import itertools
+
+    from litlens.llm.name_parts import FORMAL
+
+    names = sorted({*list(FORMAL)[::4], "ames", "jmaes", "kames", "james", "ajames", "jean paul", "paul jean", "j", "r", "b", "j h", "james h", "h", "bob", "robert j", "jo", "anne marie", "marie anne"})
+    for a, b in itertools.combinations(names, 2):
+        assert given_similarity(a, b) < 0.85 or set(given_letters(a)) & set(given_letters(b)), (a, b)
+
+
+def test_long_families_meet_by_length_and_edit(spark):
+    import random
+
+    from litlens.llm.names import _near_families
+    from litlens.session import Scratch
+
+    rng = random.Random(6)
+    want: dict = {}
+    for n in range(11, 16):
+        for kind in ("swap", "other", "less", "more"):
+            for _ in range(60):
+                name = "".join(rng.sample("abcdefghijklmnopqrstuvwxyz", n))
+                i = rng.randrange(n - 1)
+                typo = {"swap": name[:i] + name[i + 1] + name[i] + name[i + 2 :], "other": name[:i] + "é" + name[i + 1 :], "less": name[:i] + name[i + 1 :], "more": name[:i] + "ü" + name[i:]}[kind]
+                want.setdefault((n, kind), set()).add((min(name, typo), max(name, typo)))
+    names = sorted({x for pairs in want.values() for p in pairs for x in p})
+    got = {(r.fa, r.fb) for r in _near_families(spark.createDataFrame([("person", n) for n in names], "kind string, family string"), 3, 0.5, 0.98, 3, Scratch(spark, "t")).collect()}
+    assert all(len(pairs & got) >= 0.98 * len(pairs) for pairs in want.values()), {k: len(v & got) / len(v) for k, v in want.items()}
