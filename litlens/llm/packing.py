@@ -44,31 +44,37 @@ def token_counts(docs: DataFrame, doc_id: str, text: str, vocabulary: str) -> Da
 
 def difference(sizes: np.ndarray, windows: int) -> np.ndarray:
     """Window number of every item by multiway differencing: the two partial partitions with the largest spreads
-    are merged, the fullest windows of one with the emptiest of the other, until one partition is left."""
+    are merged, the fullest windows of one with the emptiest of the other, until one partition is left.
+
+    A partial partition keeps its non-empty windows only, so all of them together never hold more entries than items.
+    """
     n = len(sizes)
     tree: list[tuple[int, int]] = []  # node n + i joins two sets of items
-    heap = []
-    for turn, i in enumerate(np.argsort(-sizes, kind="stable").tolist()):
-        sums, sets = np.zeros(windows), np.full(windows, -1, dtype=np.int64)
-        sums[0], sets[0] = sizes[i], i
-        heap.append((-float(sizes[i]), turn, sums, sets))
+    order = np.argsort(-sizes, kind="stable").tolist()
+    heap = [(-float(sizes[i]), turn, np.array([float(sizes[i])]), np.array([i])) for turn, i in enumerate(order)]
+    if windows == 1:
+        return np.zeros(n, dtype=np.int64)
     heapq.heapify(heap)
     turn = n
     while len(heap) > 1:
         _, _, sums_a, a = heapq.heappop(heap)
         _, _, sums_b, b = heapq.heappop(heap)
-        sums, b = sums_a + sums_b[::-1], b[::-1]
-        sets = np.where(a >= 0, a, b)
-        for w in np.flatnonzero((a >= 0) & (b >= 0)).tolist():
-            tree.append((int(a[w]), int(b[w])))
-            sets[w] = n + len(tree) - 1
-        order = np.argsort(-sums, kind="stable")
-        sums = sums[order] - sums[order[-1]]
-        heapq.heappush(heap, (-float(sums[0]), turn, sums, sets[order]))
+        both = max(0, len(a) + len(b) - windows)  # the windows that neither has empty
+        sums = np.concatenate([sums_a[: len(a) - both], sums_a[len(a) - both :] + sums_b[len(b) - both :][::-1], sums_b[: len(b) - both]])
+        sets = np.concatenate([a, b[: len(b) - both]])
+        for k in range(both):
+            at = len(a) - both + k
+            tree.append((int(a[at]), int(b[len(b) - 1 - k])))
+            sets[at] = n + len(tree) - 1
+        by_size = np.argsort(-sums, kind="stable")
+        sums, sets = sums[by_size], sets[by_size]
+        if len(sums) == windows:
+            sums = sums - sums[-1]
+        heapq.heappush(heap, (-float(sums[0]), turn, sums, sets))
         turn += 1
     label = np.empty(n, dtype=np.int64)
-    for w, root in enumerate(heap[0][3].tolist()):
-        stack = [root] if root >= 0 else []
+    for w, root in enumerate(heap[0][3].tolist() if heap else []):
+        stack = [root]
         while stack:
             v = stack.pop()
             if v < n:
@@ -93,8 +99,9 @@ def fill(sizes: np.ndarray, capacity: int, slack: float = 0.01, rounds: int = 8)
     """Window number of every item (each of size 1 to ``capacity``); no window exceeds ``capacity``.
 
     Differencing over the least possible number of windows; windows of at least ``1 - slack`` of the capacity
-    are closed and the items of all others are divided again. What no round closes is finished by best fit,
-    because differencing spreads unused space evenly, where it is of no use to any item.
+    are closed and the items of all others are divided again. What no round closes is divided over as many windows as
+    best fit needs, or left to best fit where they would not hold it: differencing spreads unused space evenly, where
+    it is of no use to any item.
     """
     label, pool, used = np.full(len(sizes), -1, dtype=np.int64), np.arange(len(sizes)), 0
     for _ in range(rounds):
@@ -110,7 +117,10 @@ def fill(sizes: np.ndarray, capacity: int, slack: float = 0.01, rounds: int = 8)
         label[pool] = number[part]
         used, pool = used + int(closed.sum()), pool[~closed[part]]
     if len(pool):
-        label[pool] = used + _best_fit(sizes[pool], capacity)
+        best = _best_fit(sizes[pool], capacity)
+        even = difference(sizes[pool], int(best.max()) + 1)
+        holds = np.bincount(even, weights=sizes[pool]).max() <= capacity
+        label[pool] = used + (even if holds else best)
     return label
 
 
@@ -125,7 +135,8 @@ def pack(docs: DataFrame, doc_id: str, text: str, capacities: dict[str, int], vo
     spark = docs.sparkSession
     kind = docs.schema[doc_id].dataType.simpleString()
     scratch = Scratch(spark, "packing")
-    sized = scratch.cut(token_counts(docs, doc_id, text, vocabulary).where("tokens > 0")).withColumn("row", F.monotonically_increasing_id())
+    # row numbers are written with the sizes, so every later scan sees the same ones
+    sized = scratch.cut(token_counts(docs, doc_id, text, vocabulary).where("tokens > 0").withColumn("row", F.monotonically_increasing_id()))
     if any(c < 1 for c in capacities.values()):
         raise ValueError("a capacity is below 1")
     named = F.array(*[F.struct(F.lit(n).alias("target"), F.lit(int(c)).alias("capacity")) for n, c in capacities.items()]) if capacities else F.expr("cast(array() as array<struct<target:string,capacity:int>>)")

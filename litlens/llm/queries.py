@@ -28,9 +28,8 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every DOI mentioned at least twice in both tables together, with its mentions."""
     hits = table(spark, sf_dir, "embase_query3").select(F.explode("retrieved_dois").alias("raw"))
     rows = table(spark, sf_dir, "included_studies").select(F.col("doi").alias("raw"))
-    mentions = hits.unionAll(rows).select(doi_key(F.col("raw")).alias("doi")).where("doi is not null")
-    records = collapse(mentions, ["doi"], leaves={"doi": lambda c: c}, keep={"doi": F.first("doi")})
-    return records.where("copies >= 2").select("doi", "copies")
+    records = collapse(hits.unionAll(rows), ["raw"], leaves={"raw": doi_key}, keep={"doi": F.first(doi_key(F.col("raw")))})
+    return records.where("copies >= 2 and doi is not null").select("doi", "copies")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +76,7 @@ def p6_packed(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -
         import public_tokenizers
 
         vocabulary = str(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    targets = {r.target_name: r.capacity_tokens for r in table(spark, sf_dir, "pack_targets").limit(1000).collect()}
+    targets = {r.target_name: r.capacity_tokens for r in table(spark, sf_dir, "pack_targets").collect()}
     return pack(table(spark, sf_dir, "documents"), "doc_id", "text", targets, vocabulary)
 
 
