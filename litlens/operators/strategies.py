@@ -15,6 +15,19 @@ from pyspark.sql import functions as F
 
 ARTICLE = ["study", "art"]
 
+# The patterns of the default gate (letter case does not count).
+CONDITION = r"\bmultiple sclerosis\b"
+SLEEP = r"\bsleep\b|insomnia|apnea|restless\s*leg|narcolep|REM sleep"
+RANDOMISED = r"randomi[sz]ed|trial|placebo|randomly"
+NON_PHARMA = r"non[- ]?pharmacolog|non[- ]?invas|behavior|cognitive|exercise|rehabilitation|psychotherap|mindfulness|meditation"
+
+
+def default_gate(text: Column) -> Column:
+    """Whether a title (with its abstract, where there is one) passes the default gate: condition and sleep, and a
+    randomised or a non-pharmacological study. Missing and blank texts do not pass."""
+    has = lambda pattern: text.rlike(f"(?i){pattern}")
+    return F.coalesce(has(CONDITION) & has(SLEEP) & (has(RANDOMISED) | has(NON_PHARMA)), F.lit(False))
+
 
 def article_key(pmid: Column, doi: Column) -> Column:
     """``doi:``/``pmid:`` key, null where both are missing."""
@@ -40,8 +53,14 @@ def union_all(retrieval: DataFrame) -> DataFrame:
 def consensus(retrieval: DataFrame, topk: int | None = 3, k: int = 2) -> DataFrame:
     """Articles in at least ``k`` of the first ``topk`` pools (of all pools where ``topk`` is None)."""
     used = retrieval if topk is None else retrieval.join(first_pools(retrieval, topk), ["study", "pool"])
-    counted = used.select("study", "pool", "art").distinct().groupBy(*ARTICLE).agg(F.count(F.lit(1)).alias("n_pools")).where(F.col("n_pools") >= k)
-    return _members(used).join(counted, ARTICLE)
+    return _counted(used, "pool", "n_pools").where(F.col("n_pools") >= k)
+
+
+def _counted(retrieval: DataFrame, of: str, name: str) -> DataFrame:
+    """``_members`` with the number of distinct ``of`` an article was seen in: one aggregation by article and ``of``, then
+    one by article, both combined before their shuffles."""
+    seen = retrieval.groupBy(*ARTICLE, of).agg(F.min(F.struct("pool", "ord", "pmid", "doi")).alias("m"))
+    return seen.groupBy(*ARTICLE).agg(F.min("m").alias("m"), F.count(of).alias(name)).select(*ARTICLE, "m.pmid", "m.doi", name)
 
 
 def gate_articles(articles: DataFrame, texts: DataFrame, passes: Column) -> DataFrame:
@@ -80,9 +99,8 @@ def family_consensus(retrieval: DataFrame, families: DataFrame, required: int =
     pools = retrieval.select("study", "pool").distinct().groupBy("study").agg(F.count(F.lit(1)).alias("n"))
     labelled = families.where("family is not null").select("study", "pool").distinct().groupBy("study").agg(F.count(F.lit(1)).alias("n"))
     usable = pools.join(labelled, ["study", "n"]).select("study")
-    seen = retrieval.join(families, ["study", "pool"]).join(usable, "study", "left_semi").select("study", "art", "family").distinct()
-    counted = seen.groupBy(*ARTICLE).agg(F.count(F.lit(1)).alias("n_families")).where(F.col("n_families") >= required)
-    return _members(retrieval).join(counted, ARTICLE)
+    seen = retrieval.join(usable, "study", "left_semi").join(families.select("study", "pool", "family").distinct(), ["study", "pool"], "left")
+    return _counted(seen, "family", "n_families").where(F.col("n_families") >= required)
 
 
 def two_stage_screen(retrieval: DataFrame, texts: DataFrame | None = None, passes: Column | None = None, topk: int = 3) -> DataFrame:
