@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,6 +80,36 @@ def features(q: Column) -> Column:
     return F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in sorted(flags.items())]))
 
 
+# Feature -> (marks as written, marks in lower case) that show it in a query.
+PROFILE = {
+    "controlled vocabulary": (("[Mesh]", "[Majr]", "[mh]", "/exp", "/de", ".mp.", " exp "), ()),
+    "fielded free text": ((), ("[tiab]", "title-abs-key(", "ts=(", ":ti,ab", ".ti,ab.")),
+    "population restriction": ((), ("child", "adolescent", "pediatric", "paediatric", "adult", "aged", "women", "men")),
+    "design or analytic restriction": ((), ("cohort", "prospective", "retrospective", "trial", "observational", "cross-sectional", "case-control", "sensitivity and specificity", "diagnos", "valid", "agreement")),
+    "filter layer": ((), ("english", "language", "humans[filter]", "doctype(", "dt=(article", "review[pt]", "publication type")),
+}
+
+
+def profile(q: Column) -> Column:
+    """Sorted names of the published feature profile that a query shows."""
+    has = lambda exact, lower: functools.reduce(Column.__or__, [*[q.contains(t) for t in exact], *[F.lower(q).contains(t) for t in lower]])
+    return F.array_compact(F.array(*[F.when(has(*PROFILE[n]), F.lit(n)) for n in sorted(PROFILE)]))
+
+
+def profile_delta(first: Column, second: Column) -> Column:
+    """How the second query's profile differs from the first's, as a sentence."""
+    added, removed = F.array_sort(F.array_except(second, first)), F.array_sort(F.array_except(first, second))
+    say = lambda verb, names: F.when(F.size(names) > 0, F.concat(F.lit(f"{verb} "), F.array_join(names, ", ")))
+    same = "Q2 preserves the same feature profile as Q1 and mainly tightens wording or synonym scope."
+    return F.when(F.size(added) + F.size(removed) == 0, F.lit(same)).otherwise(F.concat(F.lit("Q2 "), F.concat_ws(" and ", say("adds", added), say("drops", removed)), F.lit(".")))
+
+
+def short_query(q: Column, limit: int = 220) -> Column:
+    """The query with blanks squeezed, cut to ``limit`` characters with an ellipsis."""
+    t = F.trim(F.regexp_replace(q, r"\s+", " "))
+    return F.when(F.length(t) <= limit, t).otherwise(F.concat(F.substring(t, 1, limit - 3), F.lit("...")))
+
+
 def blocks(q: Column) -> Column:
     """Number of concept blocks: occurrences of `` AND `` plus one."""
     return count_of(q, " AND ") + 1

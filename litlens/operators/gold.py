@@ -2,10 +2,22 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+# Words in journal names by which a reference counts as biomedical.
+BIOMEDICAL = ("plos", "bmc", "jama", "nejm", "lancet", "nature", "science", "cell", "neurology", "medicine", "health", "clinical", "medical", "journal of", "american journal", "british journal", "european journal")
+
+
+def biomedical(journal: Column) -> Column:
+    """Whether a journal's name holds one of ``BIOMEDICAL``; a missing name does not."""
+    name = F.lower(journal)
+    return F.coalesce(functools.reduce(Column.__or__, [name.contains(w) for w in BIOMEDICAL]), F.lit(False))
+
+
 def best_candidate(scored: DataFrame, key: list[str], minimum: float = 0.80) -> DataFrame:
     """Per key the candidate of the highest confidence that reaches ``minimum``, ties by strategy, rank and id; only
     candidates of the first strategy that returned anything count."""
@@ -47,6 +59,12 @@ def votes(claims: DataFrame, runs: int | Column, threshold: float) -> DataFrame:
     return counted.withColumn("share", share).where(F.col("share") >= threshold)
 
 
+def consistency(claims: DataFrame, runs: int | Column, threshold: float) -> DataFrame:
+    """Per study: clusters, those that reach the threshold, and their share."""
+    every = votes(claims, runs, 0.0)
+    return every.groupBy("study").agg(F.count(F.lit(1)).alias("clusters"), F.count_if(F.col("share") >= threshold).alias("accepted")).withColumn("consistency", F.col("accepted") / F.col("clusters"))
+
+
 def claim_buckets(claims: DataFrame, key: list[str]) -> DataFrame:
     """full, partial, all_different or missing agreement of the sources' PMIDs. ``claims``: key, source, pmid."""
     per = claims.where("pmid is not null").groupBy(*key, "pmid").agg(F.count(F.lit(1)).alias("n")).groupBy(*key).agg(F.count(F.lit(1)).alias("distinct_pmids"), F.max("n").alias("top"), F.sum("n").alias("given"))
