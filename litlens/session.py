@@ -48,7 +48,7 @@ class Scratch:
         seen = Observation()
         # joins may hash instead of sort, where the statistics of the finished shuffles show every partition to be small
         before = self.spark.conf.get(_LOCAL_MAP)
-        self.spark.conf.set(_LOCAL_MAP, "16m")
+        self.spark.conf.set(_LOCAL_MAP, "8m")
         try:
             df.observe(seen, F.count(F.lit(1)).alias("rows"), *watched).write.option("compression", "zstd").parquet(path)
         finally:
