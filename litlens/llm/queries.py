@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from litlens.functions.identifiers import doi_key, pmid_key
 from litlens.llm.components import components
 from litlens.llm.confusables import lookalike_pairs
-from litlens.llm.leakage import find_leaks
+from litlens.llm.leakage import find_leaks, remove_leaks
 from litlens.llm.matching import match
 from litlens.llm.merkle import collapse
 from litlens.llm.names import link_names, name_pairs
@@ -70,6 +70,13 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id")
 
 
+def p7_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that leaks held-out passages, without them; null where they cover most of it."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cleaned = remove_leaks(docs, "text", table(spark, sf_dir, "eval_items"), "item_id", "item_text", 12)
+    return cleaned.where("not (clean_text <=> text)").select("doc_id", "clean_text")
+
+
 def p6_packed(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
     """Every document placed in windows of each capacity; ``vocabulary`` defaults to the installed public one."""
     if vocabulary is None:
@@ -86,7 +93,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.where("is_spam").select("doc_id")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_matches": p4_matches, "p5_found": p5_found, "p6_packed": p6_packed, "p7_found": p7_found, "p8_found": p8_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_matches": p4_matches, "p5_found": p5_found, "p6_packed": p6_packed, "p7_found": p7_found, "p7_clean": p7_clean, "p8_found": p8_found}
 
 
 def _doi_sql(raw: str) -> str:
