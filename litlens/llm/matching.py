@@ -178,9 +178,9 @@ def _with_keys(records: DataFrame) -> DataFrame:
 
     ``keys`` join records of one table and of both: two of the title's first four groups of four words; one of the
     first three with the beginning or the end of a family name; titles of under four words have keys of their own.
-    ``lacking`` join records of both tables: where one of two lacks the author, one group with the year; where one
-    lacks the author or the year, one group with the journal's initials. A record that lacks it has such a key by
-    another name, so that complete records do not meet by these.
+    ``lacking`` join records of both tables where one of two lacks the author: one group with the year or the
+    journal's initials. A record that lacks it has such a key by another name, so that complete records do not meet
+    by these.
     """
     few = F.size(F.split("words", " ")) < 4
     w = records.withColumn("initials", _python_initials("journal")).withColumn("short", _short(*[F.when(few, F.col(c)) for c in ("words", "surname", "year", "journal", "kind")]))
@@ -189,20 +189,20 @@ def _with_keys(records: DataFrame) -> DataFrame:
     name = lambda i: F.nullif(F.get("s", F.lit(i)), F.lit(""))
     ends = [f(name(i)).alias(f"{t}{i}") for i in (0, 1) for t, f in (("n", lambda c: F.substring(c, 1, 4)), ("e", lambda c: F.substring(c, -6, 6)))]
     anonymous = F.col("surname") == ""
-    parts = w.select(*records.columns, "initials", "short", _signature(F.col("w")).alias("sig"), *[group(i).alias(f"g{i}") for i in range(4)], *ends, anonymous.alias("anonymous"), (anonymous | F.col("year").isNull()).alias("lacks"))
+    parts = w.select(*records.columns, "initials", "short", _signature(F.col("w")).alias("sig"), *[group(i).alias(f"g{i}") for i in range(4)], *ends, anonymous.alias("anonymous"))
 
     def key(tag: int, *of: str, when: Column | None = None) -> Column:
         here = F.col(of[0]).isNotNull() & F.col(of[1]).isNotNull()
         return F.when(here if when is None else here & when, F.xxhash64(F.lit(tag), *of))
 
-    def lacking(tag: int, what: str, *of: str) -> list[Column]:
+    def lacking(tag: int, *of: str) -> list[Column]:
         # the first joins lacking left records with all right ones, the second complete left records with lacking right ones
         left, right = F.col("side") == 0, F.col("side") == 1
-        return [key(tag, *of, when=(left & F.col(what)) | right), key(tag + 1, *of, when=(left & ~F.col(what)) | (right & F.col(what)))]
+        return [key(tag, *of, when=(left & F.col("anonymous")) | right), key(tag + 1, *of, when=(left & ~F.col("anonymous")) | (right & F.col("anonymous")))]
 
     keys = [key(a * 4 + b, f"g{a}", f"g{b}") for a in range(4) for b in range(a + 1, 4)]
     keys += [key(20 + t * 3 + i, f"g{i}", f"{n}{j}") for t, n in enumerate("ne") for i in range(3) for j in (0, 1)]
-    more = [k for i in range(3) for k in (*lacking(30 + 2 * i, "anonymous", f"g{i}", "year"), *lacking(40 + 2 * i, "lacks", f"g{i}", "initials"))]
+    more = [k for i in range(3) for k in (*lacking(30 + 2 * i, f"g{i}", "year"), *lacking(40 + 2 * i, f"g{i}", "initials"))]
     # keys that a record has not are nulls, dropped where the arrays are taken apart
     return parts.select(*records.columns, "sig", F.concat(F.array(*keys), "short").alias("keys"), F.array(*more).alias("lacking"))
 
@@ -232,6 +232,7 @@ def _same_article(records: DataFrame, siblings: DataFrame, same: float, scratch:
         leads = heads.join(signatures.select(F.col("rec").alias("a"), F.col("sig").alias("sa")), "a")
         met = leads.join(members.select("key", "rec", F.col("sig").alias("sb")), "key").where("a <> rec")
         spokes = scratch.cut(met.select("key", "rec", F.least("a", "rec").alias("a"), F.greatest("a", "rec").alias("b"), _plausible("sa", "sb").alias("plausible")))
+        scratch.release()
         if scratch.rows(spokes) == 0:
             break
         pairs = spokes.where("plausible").select("a", "b")
@@ -275,13 +276,20 @@ def match(left: DataFrame, right: DataFrame, left_cols: tuple[str, ...], right_c
     kinds = [s.schema["id"].dataType.simpleString() for s in sides]
     ids = [F.struct(*[(F.col("id") if i == j else F.lit(None).cast(kinds[j])).alias("lr"[j]) for j in (0, 1)]) for i in (0, 1)]
     # filtered after the cut: a filter pushed into the projections of the title forms would run their patterns again
-    rows = scratch.cut(sides[0].withColumn("id", ids[0]).unionByName(sides[1].withColumn("id", ids[1]))).where("(id.l is not null or id.r is not null) and words <> ''")
+    wide = scratch.cut(sides[0].withColumn("id", ids[0]).unionByName(sides[1].withColumn("id", ids[1])))
+    rows = wide.where("(id.l is not null or id.r is not null) and words <> ''")
     # equal descriptions are one record, however many rows have them
     records = scratch.cut(_with_keys(rows.select("rec", "side", *_DESCRIBED).distinct()))
+    slim = scratch.cut(rows.select("rec", "side", "id"))
+    scratch.drop(wide)
+    scratch.release()
     keys = records.select("side", "rec", "sig", F.explode(F.concat("keys", "lacking")).alias("key")).where("key is not null")
     a = keys.where("side = 0").select("key", F.col("rec").alias("a"), F.col("sig").alias("sa"))
     b = keys.where("side = 1").select("key", F.col("rec").alias("b"), F.col("sig").alias("sb"))
-    pairs = scratch.cut(_scored(a.join(b, "key").where(_plausible("sa", "sb")).select("a", "b").distinct(), records))
+    met = scratch.cut(a.join(b, "key").where(_plausible("sa", "sb")).select("a", "b").distinct())
+    scratch.release()
+    pairs = scratch.cut(_scored(met, records))
+    scratch.drop(met)
     scratch.release()
     siblings = _siblings(pairs, "a", "b").unionByName(_siblings(pairs, "b", "a"))
     classes = components(_same_article(records, siblings, same, scratch), "a", "b")
@@ -291,7 +299,7 @@ def match(left: DataFrame, right: DataFrame, left_cols: tuple[str, ...], right_c
 
     units = named(named(pairs, "a", "x"), "b", "y").groupBy("x", "y").agg(F.max("score").alias("unary"))
     beliefs = one_to_one(units, scratch, rounds, tolerance).where("confidence >= 0.01")
-    members = named(rows.select("rec", "side", "id"), "rec", "cls")
+    members = named(slim, "rec", "cls")
     x = members.where("side = 0").select(F.col("cls").alias("x"), F.col("id.l").alias("left_id"))
     y = members.where("side = 1").select(F.col("cls").alias("y"), F.col("id.r").alias("right_id"))
     return beliefs.join(x, "x").join(y, "y").select("left_id", "right_id", "confidence")
