@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +10,7 @@ from litlens.functions.identifiers import clean_null
 from litlens.operators import fuzzy, gold, identity, metrics, stats, strategies
 from litlens.plans import pipeline
 from litlens.session import Scratch, table
+from litlens.sources import readers
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -309,14 +308,11 @@ def _scored_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _concepts(spark: SparkSession, sf_dir: str) -> dict[str, list[str]]:
-    """concept -> patterns of the configuration table (at most 10,000 rows); bad patterns are left out."""
+    """concept -> patterns of the configuration table; patterns that the JVM cannot compile are left out."""
     out: dict[str, list[str]] = {}
-    for r in table(spark, sf_dir, "concept_terms").limit(10_000).collect():
-        try:
-            re.compile(r.term_regex)
-        except (re.error, TypeError):
-            continue
-        out.setdefault(r.concept, []).append(r.term_regex)
+    for r in table(spark, sf_dir, "concept_terms").collect():
+        if r.concept is not None and readers.java_pattern(spark, r.term_regex):
+            out.setdefault(r.concept, []).append(r.term_regex)
     return out
 
 

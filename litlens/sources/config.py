@@ -28,17 +28,19 @@ def resolve(name: str, argument: Any = None, environment: str | None = None, *fi
 
 
 def parse_bool(value: Any) -> bool:
-    if isinstance(value, bool):
-        return value
-    text = str(value).strip().lower()
-    if text in ("1", "true", "yes", "on"):
-        return True
-    if text in ("0", "false", "no", "off", ""):
-        return False
-    raise ValueError(f"no truth value: {value}")
+    """True for true, 1, yes and on in any case; every other text is false, as published."""
+    return value if isinstance(value, bool) else str(value).strip().lower() in ("1", "true", "yes", "on")
 
 
 def databases(value: str | list[str] | None, default: tuple[str, ...] = ("pubmed",)) -> list[str]:
-    """Canonical provider names of a list or comma-separated text, without repeats, in order."""
-    parts = value.split(",") if isinstance(value, str) else (value or list(default))
+    """Canonical provider names of a list or a text divided by commas or semicolons, without repeats, in order."""
+    parts = value.replace(";", ",").split(",") if isinstance(value, str) else (value or list(default))
     return list(dict.fromkeys(provider_name(p) for p in parts if p and p.strip()))
+
+
+def enabled_providers(names: list[str], settings: dict[str, dict[str, Any]]) -> list[str]:
+    """Canonical names of the providers to search; raises where the settings of one of them switch it off."""
+    chosen = databases(names)
+    if off := [p for p in chosen if settings.get(p, {}).get("enabled", True) is False]:
+        raise ValueError(f"switched off: {', '.join(off)}")
+    return chosen

@@ -87,33 +87,52 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(F.trim(F.col("p")[0]).alias("csv"), F.trim(F.col("p")[1]).alias("query"))
 
 
-def flexible_csv(spark: SparkSession, path: str, aliases: dict[str, list[str]]) -> DataFrame:
-    """The columns named in ``aliases``, each from the first present alias (case, blanks and a byte-order mark do not
-    count), else null; all text, missing spellings null."""
-    raw = spark.read.csv(path, header=True, escape='"', multiLine=True)
-    present = {re.sub(r"[\s_﻿]+", "", c).lower(): c for c in raw.columns}
+def csv_cells(spark: SparkSession, path: str) -> DataFrame:
+    """path, row (from 1), cells, values of CSV files, each read whole: ``cells`` by the file's own header, names in lower
+    case without blanks and underscores; ``values`` in order. Row 0 is the header. A byte-order mark and blank first
+    lines are skipped, so a glob may mix files of different headers."""
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import csv
+        import io
+
+        csv.field_size_limit(2**31 - 1)
+        for batch in batches:
+            rows = []
+            for p, text in zip(batch["path"], batch["text"], strict=True):
+                names: list[str] | None = None
+                for n, values in enumerate(v for v in csv.reader(io.StringIO(text.lstrip("\ufeff \t\r\n"))) if v):
+                    if names is None:
+                        names = ["".join(v.lower().replace("_", " ").split()) for v in values]
+                    rows.append((p, n, dict(zip(names, values, strict=False)), values))
+            yield pd.DataFrame(rows, columns=["path", "row", "cells", "values"])
+
+    return _whole(spark, path).mapInPandas(scan, "path string, row int, cells map<string,string>, values array<string>")
 
-    def pick(names: list[str]) -> Column:
-        found = [present[k] for n in names if (k := re.sub(r"[\s_]+", "", n).lower()) in present]
-        return F.coalesce(*[clean_null(F.col(f"`{c}`")) for c in found]) if found else F.lit(None).cast("string")
 
-    return raw.select(*[pick(names).alias(c) for c, names in aliases.items()])
+def _picked(names: list[str]) -> Column:
+    return F.coalesce(*[clean_null(F.col("cells")[re.sub(r"[\s_]+", "", n).lower()]) for n in names])
+
+
+def flexible_csv(spark: SparkSession, path: str, aliases: dict[str, list[str]]) -> DataFrame:
+    """path, row and the columns named in ``aliases``, each from the first alias that has a value (case, blanks and a
+    byte-order mark do not count), else null; all text, missing spellings null. Every file goes by its own header."""
+    return csv_cells(spark, path).where("row > 0").select(*[_picked(names).alias(c) for c, names in aliases.items()], "path", "row")
 
 
 _GOLD = {"pmid": ["pmid", "pubmed id", "pubmed_id", "pubmedid"], "doi": ["doi"], "title": ["title"], "first_author": ["first_author", "first author"], "year": ["year"], "journal": ["journal"]}
 
 
 def gold_list(spark: SparkSession, path: str) -> DataFrame:
-    """pmid, doi, title, first_author, year of a gold CSV. Without a header that names an identifier the first column
-    is the PMID of every row, the first included; identifiers stay text; years count where all digits."""
-    head = spark.read.text(path).limit(1).collect()
-    names = [re.sub(r"[\s_﻿\"]+", "", c).lower() for c in (head[0][0].split(",") if head else [])]
-    if not any(n in ("pmid", "pubmedid", "doi") for n in names):
-        rows = spark.read.csv(path, header=False)
-        first = clean_null(F.col("_c0")).alias("pmid") if rows.columns else F.lit(None).cast("string").alias("pmid")
-        return rows.select(first, *[F.lit(None).cast(t).alias(c) for c, t in (("doi", "string"), ("title", "string"), ("first_author", "string"), ("year", "int"), ("journal", "string"))])
-    out = flexible_csv(spark, path, _GOLD)
-    return out.withColumns({"doi": F.lower("doi"), "year": F.when(F.col("year").rlike(r"^\d+$"), F.col("year").cast("int"))})
+    """pmid, doi, title, first_author, year, journal, path, row of gold CSVs. In a file without a header that names an
+    identifier the first column is the PMID of every row, the first included; identifiers stay text; years count where
+    all digits."""
+    cells = csv_cells(spark, path)
+    named = F.coalesce(F.map_contains_key("cells", F.lit("pmid")) | F.map_contains_key("cells", F.lit("pubmedid")) | F.map_contains_key("cells", F.lit("doi")), F.lit(False))
+    headed = cells.where("row = 0").where(named).select("path", F.lit(True).alias("headed"))
+    rows = cells.join(headed, "path", "left").withColumn("headed", F.coalesce("headed", F.lit(False))).where("row > 0 or not headed")
+    out = rows.select(*[F.when(F.col("headed"), _picked(names)).alias(c) for c, names in _GOLD.items()], clean_null(F.get("values", F.lit(0))).alias("bare"), "headed", "path", "row")
+    made = out.withColumns({"pmid": F.when(F.col("headed"), F.col("pmid")).otherwise(F.col("bare")), "doi": F.lower("doi"), "year": F.when(F.col("year").rlike(r"^\d+$"), F.col("year").cast("int"))})
+    return made.drop("bare", "headed")
 
 
 def id_sets(rows: DataFrame) -> DataFrame:
@@ -121,15 +140,23 @@ def id_sets(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count_distinct("pmid").alias("pmids"), F.count_distinct("doi").alias("dois")).withColumn("count", F.greatest("pmids", "dois"))
 
 
+def java_pattern(spark: SparkSession, pattern: str | None) -> bool:
+    """Whether the JVM, which runs the patterns, can compile one."""
+    try:
+        spark.sparkContext._jvm.java.util.regex.Pattern.compile(f"(?i){pattern}")
+    except Exception:  # noqa: BLE001  (the gateway wraps the JVM's exception)
+        return False
+    return pattern is not None
+
+
 def concept_terms(spark: SparkSession, path: str) -> tuple[dict[str, list[str]], list[str]]:
-    """({concept: patterns}, [bad patterns]) of a configuration CSV (concept, term_regex)."""
+    """({concept: patterns}, [bad patterns]) of a configuration CSV (concept, term_regex), in the order of the file."""
     good: dict[str, list[str]] = {}
     bad = []
-    for r in flexible_csv(spark, path, {"concept": ["concept"], "term_regex": ["term_regex"]}).where("concept is not null and term_regex is not null").limit(10_000).collect():
-        try:
-            re.compile(r.term_regex)
+    for r in flexible_csv(spark, path, {"concept": ["concept"], "term_regex": ["term_regex"]}).where("concept is not null and term_regex is not null").orderBy("path", "row").collect():
+        if java_pattern(spark, r.term_regex):
             good.setdefault(r.concept, []).append(r.term_regex)
-        except re.error:
+        else:
             bad.append(r.term_regex)
     return good, bad
 
@@ -197,7 +224,7 @@ def export_records(spark: SparkSession, path: str) -> DataFrame:
         v = vertical_records(spark, path)
         named = v.select("rec", *[F.coalesce(*[F.col("fields")[n.upper()] for n in names]).alias(c) for c, names in _EXPORT.items()])
     else:
-        named = flexible_csv(spark, path, _EXPORT).withColumn("rec", F.monotonically_increasing_id())
+        named = flexible_csv(spark, path, _EXPORT).withColumnRenamed("row", "rec")
     year = F.regexp_extract("year", r"(\d{4})", 1)
     return named.select(F.col("rec").cast("long").alias("rec"), "title", F.lower("doi").alias("doi"), F.regexp_replace("pmid", r"\D", "").alias("pmid"), F.trim(F.split("authors", "[;,]")[0]).alias("first_author"), F.when(year != "", year.cast("int")).alias("year"), "journal")
 

@@ -18,7 +18,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter
 
 # Names under which providers are known, their kind of identifier and page size.
 PROVIDERS = {"pubmed": ("pmid", 100_000), "scopus": ("scopus_id", 25), "web_of_science": ("wos_uid", 50), "embase": ("pmid", 100_000)}
-ALIASES = {"wos": "web_of_science", "webofscience": "web_of_science", "medline": "pubmed", "embase_local": "embase"}
+ALIASES = {"ncbi": "pubmed", "wos": "web_of_science", "webofscience": "web_of_science", "medline": "pubmed", "embase_local": "embase"}
 _OPERATORS = {EqualTo: "==", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from litlens.functions.identifiers import clean_null
+from litlens.sources.readers import flexible_csv
 
 #: Schemas of recorded answers, as the services send them.
 PUBMED = "pmid string, title string, journal string, article_year string, issue_year string, ids array<struct<type:string,value:string>>, authors array<struct<LastName:string,Initials:string>>"
@@ -84,24 +85,7 @@ def study_documents(spark: SparkSession, folder: str) -> DataFrame:
 def validation_rows(spark: SparkSession, path: str) -> DataFrame:
     """title, pmid, doi, authors, path of validation CSVs: blank first lines and a byte-order mark are skipped, PMIDs
     keep their digits, resolver addresses before DOIs go, columns by their usual names; one header per file."""
-    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", r"^[\x{FEFF}\s]+", "").alias("text"))
-    names = {"title": ("title", "studytitle"), "pmid": ("pmid", "pubmedid"), "doi": ("doi",), "authors": ("authors", "author")}
-
-    def parse(batches):
-        import csv
-        import io
-
-        import pandas as pd
-
-        for batch in batches:
-            rows = []
-            for p, t in zip(batch["path"], batch["text"], strict=True):
-                for r in csv.DictReader(io.StringIO(t)):
-                    keyed = {"".join(k.lower().replace("_", " ").split()): v for k, v in r.items() if isinstance(k, str)}
-                    rows.append((p, *[next((keyed[k] for k in ks if keyed.get(k)), None) for ks in names.values()]))
-            yield pd.DataFrame(rows, columns=["path", *names])
-
-    rows = text.mapInPandas(parse, "path string, title string, pmid string, doi string, authors string")
+    rows = flexible_csv(spark, path, {"title": ["title", "study title"], "pmid": ["pmid", "pubmed id"], "doi": ["doi"], "authors": ["authors", "author"]})
     pmid, doi = F.regexp_replace("pmid", r"\D", ""), F.regexp_replace(clean_null(F.col("doi")), r"(?i)^(?:https?://)?(?:dx\.)?doi\.org/", "")
     return rows.select(clean_null(F.col("title")).alias("title"), F.nullif(pmid, F.lit("")).alias("pmid"), F.nullif(doi, F.lit("")).alias("doi"), clean_null(F.col("authors")).alias("authors"), "path")
 

@@ -79,3 +79,16 @@ def test_writers(spark, tmp_path):
     entries = spark.createDataFrame([("k", "q", None)], "entry_key string, query string, pmids array<string>")
     writers.write_local_imports(entries, str(tmp_path / "l"))
     assert readers.local_imports(spark, str(tmp_path / "l" / "*.txt")).first().query == "q"
+
+
+def test_files_of_different_headers_in_one_glob(spark, tmp_path):
+    put(tmp_path, "g1.csv", "\ufeff\nDOI,pmid\n10.1/A,5\n")
+    put(tmp_path, "g2.csv", "7\n8\n")
+    put(tmp_path, "g3.csv", "")
+    put(tmp_path, "g4.csv", "PMID,title\n9," + "x" * 200_000 + "\n")
+    got = {(r.path[-6:], r.row, r.pmid, r.doi) for r in readers.gold_list(spark, str(tmp_path / "g*.csv")).collect()}
+    assert got == {("g1.csv", 1, "5", "10.1/a"), ("g2.csv", 0, "7", None), ("g2.csv", 1, "8", None), ("g4.csv", 1, "9", None)}
+
+
+def test_patterns_are_those_of_the_jvm(spark):
+    assert readers.java_pattern(spark, r"a\p{L}+") and not readers.java_pattern(spark, "(a") and not readers.java_pattern(spark, "(?P<n>a)") and not readers.java_pattern(spark, None)

@@ -54,3 +54,10 @@ def test_workflows(spark):
     meta = spark.read.parquet(f"{d}/embase_query3.parquet").select(F.col("study_name").alias("study"), F.explode("records").alias("r")).select("study", F.col("r.record_id").alias("ord"), "r.title", "r.first_author", "r.year")
     plain, near = pipeline.score(r, g).agg(F.sum("tp")).first()[0], pipeline.score(r, g, meta).agg(F.sum("tp")).first()[0]
     assert near >= plain > 0
+
+
+def test_switches():
+    assert not config.parse_bool("maybe") and not config.parse_bool(None) and config.parse_bool(True)
+    assert config.enabled_providers(["wos"], {"pubmed": {"enabled": False}}) == ["web_of_science"]
+    with pytest.raises(ValueError):
+        config.enabled_providers(["pubmed"], {"pubmed": {"enabled": False}})
