@@ -59,10 +59,9 @@ def _named(members: DataFrame, vertex: str) -> DataFrame:
 
 def _contracted(pairs: DataFrame, scratch: Scratch, max_rounds: int) -> DataFrame:
     """v, r: every vertex of the pairs (a, b) with a representative that its component shares."""
-    real = F.count_if(F.col("a") != F.col("b")).alias("real")
-    all_pairs = scratch.cut(pairs.distinct(), real)
-    work, rounds, left = all_pairs.where("a <> b"), [], scratch.seen(all_pairs)["real"]
-    while left:
+    all_pairs = scratch.cut(pairs.distinct())
+    work, rounds = all_pairs.where("a <> b"), []
+    while not work.isEmpty():
         if len(rounds) == max_rounds:
             raise RuntimeError("contraction did not end")
         hooks = scratch.cut(_hooks(work, len(rounds) + 1))
@@ -72,7 +71,7 @@ def _contracted(pairs: DataFrame, scratch: Scratch, max_rounds: int) -> DataFram
         if rounds:
             scratch.drop(work)
         rounds.append(hooks)
-        work, left = following, scratch.rows(following)
+        work = following
     loops = all_pairs.where("a = b").select(F.col("a").alias("v"), F.col("a").alias("r"))
     if not rounds:
         return loops

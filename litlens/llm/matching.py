@@ -246,6 +246,8 @@ def _same_article(records: DataFrame, siblings: DataFrame, same: float, scratch:
         scratch.drop(last)
         scratch.drop(spokes)
         scratch.release()
+        if scratch.rows(members) == 0:
+            break
         count *= 4
         order = F.row_number().over(Window.partitionBy("key").orderBy("rec"))
         heads = members.select("key", F.col("rec").alias("a"), order.alias("r")).where(F.col("r") <= count).select("key", "a")
@@ -331,9 +333,9 @@ def one_to_one(units: DataFrame, scratch: Scratch, rounds: int = 30, tolerance:
         out_y = F.col("u") * F.col("fx")
         fresh = half.join(half.groupBy("y").agg(F.sum(out_y).alias("sy")), "y").withColumn("fy", message(F.col("sy"), out_y, "my"))
         step = F.greatest(F.abs(F.log("fx") - F.log("mx")), F.abs(F.log("fy") - F.log("my")))
-        following = scratch.cut(fresh.select("x", "y", "u", F.col("fx").alias("mx"), F.col("fy").alias("my"), step.alias("moved")), F.max("moved").alias("moved"))
+        following = scratch.cut(fresh.select("x", "y", "u", F.col("fx").alias("mx"), F.col("fy").alias("my"), step.alias("moved")))
         scratch.drop(state)
-        state, moved = following, scratch.seen(following)["moved"]
+        state, moved = following, following.agg(F.max("moved")).first()[0]
         if moved < tolerance:
             break
     else:
